@@ -235,6 +235,10 @@ class _Builder:
             first, second = a.col, b.col
         elif {a.kind, b.kind} <= {SET, ITEMS}:
             first, second = a.col, b.col
+        elif {a.kind, b.kind} == {NUM, FLAG}:  # True is 1
+            first, second = self._as_number(a), self._as_number(b)
+            a = Typed(first, NUM, risky=a.risky, whole=a.whole or a.kind == FLAG)
+            b = Typed(second, NUM, risky=b.risky, whole=b.whole or b.kind == FLAG)
         else:
             raise RuleEvaluationError(f"and/or between {a.kind} and {b.kind} has no single type in {self.source!r}")
         col = F.when(test, first if is_or else second).otherwise(second if is_or else first)
@@ -380,7 +384,7 @@ class _Builder:
             rest = [i for i in b.items if not any(i is p for p in plain)]
             tests = [self._equal(a, i) for i in rest]
             if plain:
-                tests.insert(0, F.coalesce(a.col.isin(*[i.col for i in plain]), F.lit(False)))
+                tests.insert(0, a.col.isNotNull() & a.col.isin(*[i.col for i in plain]))
             return (reduce(lambda x, y: x | y, tests) if tests else F.lit(False)), False
         if b.kind == TEXT:
             if a.kind != TEXT:
@@ -399,7 +403,12 @@ class _Builder:
 
     def _settled(self, operands: list[Typed], col: Column) -> tuple[Column, bool]:
         risky = self.strict and not all(x.literal for x in operands)
-        return F.coalesce(self._guard(operands, col), F.lit(False)), risky
+        if risky:
+            return F.coalesce(self._guard(operands, col), F.lit(False)), True
+        # Written with null tests instead of coalesce(), so that a scan can take the filter.
+        whole = any(x.kind in (SET, ITEMS) for x in operands)
+        tests = [x.col.isNotNull() for x in operands if not x.literal]
+        return reduce(lambda x, y: x & y, [*tests, F.coalesce(col, F.lit(False)) if whole else col]), False
 
     def _ordered(self, op: type, a: Typed, b: Typed) -> tuple[Column, bool]:
         sign = _SYMBOL[op]
