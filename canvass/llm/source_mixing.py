@@ -100,7 +100,10 @@ def fit(totals: DataFrame, weights: dict[str, float], max_epochs: float) -> tupl
     sums = totals.agg(*[F.coalesce(F.sum(F.col("words") * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(F.col("words") * p[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
     have, gram = np.array(sums[:k], float), np.array(sums[k:], float).reshape(k, k)
     total = have.sum()
-    goal = np.minimum(np.array([weights[d] for d in DOMAINS]) * total, max_epochs * have)
+    share = np.array([weights[d] for d in DOMAINS])
+    # So large that clean words, where their weight is below their share, need not go.
+    budget = max(total, have[0] / share[0]) if share[0] > 0 else total
+    goal = np.minimum(share * budget, max_epochs * have)
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(1.0, total))
     steps: list[np.ndarray] = []
     now = have
