@@ -28,6 +28,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     short and a lost executor costs one round. Hot nodes are pre-aggregated by min() before
     the shuffle and their join is one that AQE can split.
     """
+    links.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     edges = written(links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:

@@ -11,7 +11,8 @@ the window of every Voronoi region. Hence two levels:
 2. Regions. A family that fits one task is joined there. A larger one is cut by pivots: each member
    goes to the region of its nearest pivot and, by the triangle inequality, also to each region
    whose pivot is at most 2 epsilon further, so a link is found in at least one region. Members
-   within epsilon of the same pivot are linked through it already; regions without others are done.
+   within epsilon of a pivot are linked through it already, and so are pivots that share such a
+   member; a region is visited, and a member replicated, only where that leaves two groups apart.
    Regions that are still large are cut again; after ROUNDS, block against block.
 
 Sets are of 64-bit shingle hashes. Equal sets are one class, known by a 128-bit hash.
@@ -38,7 +39,7 @@ from .storage import written
 
 #: A family or region of at most so many shingles and members is joined in one task.
 REGION_SHINGLES = 3_000_000
-REGION_MEMBERS = 1500
+REGION_MEMBERS = 3000
 PIVOTS = 12
 ROUNDS = 4
 SEEDS = 6
@@ -91,9 +92,10 @@ class Bands:
         differ = last * (self.den - self.num) // self.num
         if differ == 0:
             return 1, 0
-        slack = 1
-        while (m := differ + 1 + slack) * math.exp(-first / m) > slack / 3:
-            slack += 1
+        for slack in range(1, differ + 2):
+            m = differ + 1 + slack
+            if m * math.exp(-first / m) <= 0.8 * slack:  # empty classes to be expected
+                break
         return m, slack
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
@@ -127,12 +129,17 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def join_region(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def join_region(sets: list[np.ndarray], num: int, den: int, roots: list[int | None] | None = None) -> list[tuple[int, int]]:
     """Links that span the groups of a region, exactly: a pair is compared unless it is known to
-    be in one group already, or sizes or pivots prove it too far apart."""
+    be in one group already, or sizes or pivots prove it too far apart. Members with the same
+    root are linked through it."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     groups, links = Groups(n), []
+    first: dict[int, int] = {}
+    for k, root in enumerate(roots or ()):
+        if root is not None:
+            groups.join(first.setdefault(root, k), k)
     epsilon = 1 - num / den
 
     def compare(x: int, y: int) -> float:
@@ -179,68 +186,109 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _joined_whole(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of regions (region, doc, shingles) that each fit one task."""
+    """Links of regions (region, doc, shingles, root) that each fit one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, docs, sets = None, [], []
+        region, docs, sets, roots = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            return _links([(docs[x], docs[y]) for x, y in join_region(sets, num, den)])
+            return _links([(docs[x], docs[y]) for x, y in join_region(sets, num, den, roots)])
 
         for batch in batches:
-            for r, doc, data in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles")), strict=True):
+            for r, doc, data, root in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles", "root")), strict=True):
                 if r != region and docs:
                     yield done()
-                    docs, sets = [], []
+                    docs, sets, roots = [], [], []
                 region = r
                 docs.append(doc)
                 sets.append(_as_set(data))
+                roots.append(root)
         if docs:
             yield done()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.select("region", "doc", "shingles").repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(run, LINK)
+    return members.select("region", "doc", "shingles", "root").repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(run, LINK)
 
 
-def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """One round over large regions: rows (region, doc, shingles, near, link)."""
-    epsilon = 1 - num / den
+def _pivots(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(region, pivots): about PIVOTS members of each region, by hash; the one of least hash at least."""
     tagged = members.join(sizes.select("region", F.col("members").alias("size")), "region")
     chance = F.pmod(F.xxhash64("doc", "region"), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1)))
-    picked = tagged.withColumn("turn", chance).where("turn = 0").select("region", "doc", "shingles")
-    first = tagged.groupBy("region").agg(F.min_by(F.struct("doc", "shingles"), F.struct(F.xxhash64("doc"), "doc")).alias("p")).select("region", "p.doc", "p.shingles")
-    pivots = picked.unionByName(first).dropDuplicates(["region", "doc"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("doc", "shingles"))).alias("pivots"))
+    picked = tagged.where(chance == 0).select("region", "doc", "shingles")
+    least = tagged.groupBy("region").agg(F.min_by(F.struct("doc", "shingles"), F.struct(F.xxhash64("doc"), "doc")).alias("p")).select("region", "p.doc", "p.shingles")
+    return picked.unionByName(least).dropDuplicates(["region", "doc"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("doc", "shingles"))).alias("pivots"))
+
+
+def _distances(data: bytes, pivots: list[dict], num: int, den: int) -> tuple[np.ndarray, list[int], int]:
+    """(distance to each pivot, pivots within epsilon, nearest pivot)."""
+    own, d, linked = _as_set(data), [], []
+    for k, p in enumerate(pivots):
+        other = _as_set(p["shingles"])
+        both = _common(own, other)
+        union = len(own) + len(other) - both
+        d.append(1 - both / union)
+        if both * den >= union * num:
+            linked.append(k)
+    return np.array(d), linked, int(np.argmin(d))
+
+
+def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """One round over large regions: links to pivots (a, b), and the members of the open regions
+    of the next round (region, doc, shingles, root)."""
+    epsilon = 1 - num / den
+    pivots = written(_pivots(members, sizes), "pivots")
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int, int]] = set()
         for batch in batches:
             out = []
             for region, doc, data, pivot in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles", "pivots")), strict=True):
-                own = _as_set(data)
-                d, linked = [], []
-                for p in pivot:
-                    other = _as_set(p["shingles"])
-                    both = _common(own, other)
-                    union = len(own) + len(other) - both
-                    d.append(1 - both / union)
-                    linked.append(both * den >= union * num)
-                home = int(np.argmin(d))
-                for k, p in enumerate(pivot):
-                    if d[k] <= d[home] + 2 * epsilon + 1e-9:
-                        name = xxhash.xxh3_64_intdigest(f"{region}/{p['doc']}".encode()) - (1 << 63)
-                        out.append((name, doc, data, linked[k], p["doc"] if linked[k] and p["doc"] != doc else None))
+                _, linked, home = _distances(data, pivot, num, den)
+                pairs = {(region, linked[0], k) for k in linked[1:]} - met if linked else set()
+                met |= pairs
+                out.append((region, doc, home, pivot[home]["doc"], home in linked, [x * 65536 + y for _, x, y in pairs]))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "doc", "home", "pivot", "near", "pairs"])
+
+    at_home = written(members.join(pivots, "region").mapInArrow(measure, "region bigint, doc bigint, home int, pivot bigint, near boolean, pairs array<bigint>"), "homes")
+    links = at_home.where("near and doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
+    pairs = at_home.select("region", F.explode("pairs").alias("pair")).groupBy("region").agg(F.collect_set("pair").alias("pairs"))
+    known = pivots.join(pairs, "region", "left")
+    # Pivots that share a member within epsilon: linked through it.
+    joined = known.select("region", F.explode("pairs").alias("pair"), "pivots").select(F.get("pivots", F.shiftright("pair", 16).cast("int"))["doc"].alias("a"), F.get("pivots", (F.col("pair") % 65536).cast("int"))["doc"].alias("b"))
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for region, doc, data, pivot, links_of in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles", "pivots", "pairs")), strict=True):
+                d, linked, home = _distances(data, pivot, num, den)
+                groups = Groups(len(pivot))
+                for pair in links_of or ():
+                    groups.join(pair // 65536, pair % 65536)
+                near = home in linked
+                for k in np.flatnonzero(d <= d[home] + 2 * epsilon + 1e-9).tolist():
+                    if not near or groups.find(k) != groups.find(home):
+                        out.append((region, pivot[k]["doc"], doc, data, pivot[home]["doc"] if near else None))
             cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "doc", "shingles", "near", "link"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "pivot", "doc", "shingles", "root"])
 
-    return written(members.join(pivots, "region").mapInArrow(assign, "region bigint, doc bigint, shingles binary, near boolean, link bigint"), "regions")
+    guests = members.join(known, "region").mapInArrow(replicate, "region bigint, pivot bigint, doc bigint, shingles binary, root bigint")
+    guests = written(guests, "guests").select(F.xxhash64("region", "pivot").alias("next"), "doc", "shingles", "root")
+    open_ones = guests.select("next").distinct()
+    hosts = at_home.where("near").select("region", "doc", F.xxhash64("region", "pivot").alias("next"), F.col("pivot").alias("root")).join(open_ones, "next", "left_semi")
+    hosts = members.drop("root").join(hosts, ["region", "doc"]).select("next", "doc", "shingles", "root")
+    cut = written(guests.unionByName(hosts).withColumnRenamed("next", "region"), "regions")
+    return links.unionByName(joined), cut
 
 
 def _joined_by_blocks(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """The exact way for regions that pivots don't cut: every block against every other, a task each."""
     blocks = F.ceil(F.greatest(F.col("members") / REGION_MEMBERS, F.col("total") / REGION_SHINGLES) * 2).cast("bigint")
     spread = members.join(sizes.select("region", blocks.alias("blocks")), "region").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    paired = spread.select("region", "doc", "shingles", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    return _joined_whole(paired.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "doc", "shingles"), num, den)
+    paired = spread.select("region", "doc", "shingles", "root", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    return _joined_whole(paired.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "doc", "shingles", "root"), num, den)
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -252,8 +300,10 @@ def _large() -> Column:
 
 
 def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Written links (a, b) spanning the groups of each family, for rows (region, doc, shingles)."""
-    links = None
+    """Links (a, b) spanning the groups of each family, for rows (region, doc, shingles)."""
+    # Rows of one region must meet whatever Spark infers about unions.
+    members.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    links, members = None, members.withColumn("root", F.lit(None).cast("bigint"))
     for turn in range(ROUNDS + 1):
         sizes = written(_sizes(members), "region-sizes")
         big = sizes.where(_large())
@@ -264,11 +314,8 @@ def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
         members = members.join(big.select("region"), "region")
         if turn == ROUNDS:
             return links.unionByName(written(_joined_by_blocks(members, big, num, den), "links"))
-        cut = _cut_by_pivots(members, big, num, den)
-        links = links.unionByName(cut.where("link is not null").select(F.col("doc").alias("a"), F.col("link").alias("b")))
-        # Where all are linked to the pivot there is nothing left to find.
-        open_ones = cut.groupBy("region").agg(F.bool_and("near").alias("closed")).where("not closed").select("region")
-        members = cut.join(open_ones, "region").select("region", "doc", "shingles")
+        more, members = _cut_by_pivots(members, big, num, den)
+        links = links.unionByName(more)
     return links
 
 
@@ -318,7 +365,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     neighbours = known.mapInArrow(signed, "sig bigint, cid bigint").select("sig", "cid", F.lag("cid").over(Window.partitionBy("sig").orderBy("cid")).alias("before"))
     families = components(neighbours.where("before <> cid").select("before", "cid").distinct(), "before", "cid")
     chosen = written(reps.withColumn("node", _cid("key")).join(families, "node").select(F.col("component").alias("region"), F.col("rep").alias("doc")), "family-members")
-    members = written(known.join(chosen, known.doc_id == chosen.doc).select("region", "doc", "raw").dropDuplicates(["region", "doc"]).mapInArrow(with_sets, "region bigint, doc bigint, shingles binary"), "family-sets")
+    # A merge join at any size: the cost then follows the input, and nothing is broadcast.
+    members = written(known.hint("merge").join(chosen.hint("merge"), known.doc_id == chosen.doc).select("region", "doc", "raw").dropDuplicates(["region", "doc"]).mapInArrow(with_sets, "region bigint, doc bigint, shingles binary"), "family-sets")
     roots = components(family_links(members, num, den), "a", "b")
     labelled = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("root"))
     sets = summary.join(labelled, "key", "left")
