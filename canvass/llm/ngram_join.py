@@ -384,4 +384,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     from .storage import fresh
 
     groups = similar_groups(docs, id_col, text_col, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs.columns, "dropped"))).distinct()
-    return docs.join(groups, F.col(id_col) == groups[groups.columns[0]], "left_anti")
+    return docs.hint("merge").join(groups.hint("merge"), F.col(id_col) == groups[groups.columns[0]], "left_anti")
