@@ -37,7 +37,7 @@ FOLDS, HELD_FOLD = 5, 1
 #: Counts up to this are discounted.
 KATZ_K = 5
 #: A block is closed beyond so many tokens.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 2_200_000
 #: Hashes that stand for the end token and for the start of a text.
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -252,12 +252,15 @@ class Model:
         return self.pair_d[np.minimum(count, KATZ_K + 1)] * count
 
 
-def _backoff_answer(held: list) -> Iterator[tuple]:
-    """Backoff weight and scale of each history from its sums over the blocks."""
+def _backoff_answer(held: list, discount: np.ndarray) -> Iterator[tuple]:
+    """Backoff weight and scale of each history from its sums over the blocks: its uses, how many
+    of its bigrams occur 1, 2, ... KATZ_K times, and the lower-order mass of all its bigrams. What
+    discounting frees is the sum of (1 - d[c]) c over the former."""
     place, _, uses = _summed(held, 1)
-    mass, lower = _summed(held, 2)[2], _summed(held, 3)[2]
+    lower = _summed(held, 2)[2]
+    freed = sum((1 - discount[c]) * c * _summed(held, 2 + c)[2] for c in range(1, KATZ_K + 1))
     used = uses > 0
-    free = np.where(used, 1 - mass / np.maximum(uses, 1), 1.0)
+    free = np.where(used, freed / np.maximum(uses, 1), 1.0)
     bare = used & (free <= 1e-9)  # all its counts are too large to be discounted
     free = np.where(bare, 1 / (uses + 1.0), free)
     scale = np.where(bare, 1 - free, 1.0)
@@ -316,6 +319,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield _rows(sliced(block, keys, [_small(counts)]))
 
     words = _exchange(blocks.mapInArrow(ask_words, ROW), buckets, _count_answer, "lm-words")
+    released(spark)
     pairs = _exchange(blocks.mapInArrow(ask_bigrams, ROW), buckets, _count_answer, "lm-bigrams")
     released(spark)
     model = Model(_stats(words), _stats(pairs))
@@ -331,11 +335,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             own = (owner == 1) & (total > 0)
             n = len(b.words)
             uses = np.bincount(one, weights=local, minlength=n).astype(np.int64)
-            mass = np.bincount(one[own], weights=model.discounted(total[own]), minlength=n)
             lower = np.bincount(one[own], weights=chance[two[own]], minlength=n)
-            yield _rows(sliced(block, b.words, [_small(uses), mass, lower]))
+            rare = [_small(np.bincount(one[own & (total == c)], minlength=n)) for c in range(1, KATZ_K + 1)]
+            yield _rows(sliced(block, b.words, [_small(uses), lower, *rare]))
 
-    weights = _exchange(_by_block([blocks, words, pairs], buckets).mapInArrow(ask_weights, ROW), buckets, _backoff_answer, "lm-weights")
+    weights = _exchange(_by_block([blocks, words, pairs], buckets).mapInArrow(ask_weights, ROW), buckets, lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
     released(spark)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,9 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second finds what the first has made unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def fresh(taken: list[str], base: str) -> str:
