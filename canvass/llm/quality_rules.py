@@ -29,16 +29,16 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: Documents at or above this posterior are kept.
 KEEP_AT = 0.5
-EM_STEPS = 60
-#: Prior for a rule's accuracy on good documents.
-PRECISION = 0.998
-#: Weight of that prior in corpora; the accuracy on good documents is known by design.
-PRECISION_WEIGHT = 20
-#: Prior for its accuracy on bad ones: it knows some kinds only.
-RECALL = 0.25
+EM_STEPS = 300
+#: Prior for a rule's accuracy on good documents, and for that on bad ones: it knows some kinds only.
+PRECISION, RECALL = 0.998, 0.25
+#: Weight of each of these priors in documents, whatever the corpus size.
+PRIOR_DOCS = 20
 GOOD, BAD, ABSTAIN = 2, 0, 1
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 DIGITS = b"0123456789"
+#: Everything in ASCII but letters, white space and the marks of prose becomes "#".
+ODD = bytes(ord("#") if 32 < c < 127 and not chr(c).isalpha() and chr(c) not in ".,;:!?'\"()-" else c for c in range(256))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -87,12 +87,14 @@ def measures(raw: bytes) -> dict[str, float]:
             seen.add(line)
     solid = raw.translate(None, SPACE)
     cont = len(solid) - len(solid.translate(None, bytes(range(0x80, 0xC0))))
+    odd = raw.translate(ODD)
     count = lambda chars: len(solid) - len(solid.translate(None, chars))
     upper, lower = count(UPPER), count(LOWER)
     return {
         "n_words": len(words), "word_chars": len(solid) - cont, "n_symbols": count(SYMBOLS), "n_dup_lines": dup,
         "n_repeat_words": repeated_words(words), "n_lines": full, "n_ended": ended, "n_upper": upper,
         "n_ascii_letters": upper + lower, "n_digits": count(DIGITS), "n_distinct": len(set(words)), "n_shouts": count(b"!"),
+        "n_odd": sum(b"#" in w for w in odd.split()) if b"#" in odd else 0,
     }
 
 
@@ -108,15 +110,14 @@ RULES = {
     "length": lambda m: _band(m["n_words"], 20, 50, INF, INF),
     "word_length": lambda m: _band(m["word_chars"] / max(1, m["n_words"]), 2.5, 3.5, 10, 14),
     "symbols": lambda m: _band(m["n_symbols"] / max(1, m["n_words"]), -1, 0, 0.02, 0.2),
+    "odd_words": lambda m: _band(m["n_odd"] / max(1, m["n_words"]), -1, 0, 0.05, 0.2),
     "repetition": lambda m: min(
         _band(m["n_dup_lines"] / max(8, m["n_lines"]), -1, 0, 0.05, 0.3),
         _band(m["n_repeat_words"] / max(1, m["n_words"]), -1, 0, 0.05, 0.3),
-        _band(m["n_distinct"] / max(1, m["n_words"]) ** 0.8, 0.6, 1.0, INF, INF),
-    ),
-    "shouting": lambda m: min(
-        _band(m["n_upper"] / max(1, m["n_ascii_letters"]), -1, 0, 0.15, 0.4),
-        _band(m["n_shouts"] / max(1, m["n_words"]), -1, 0, 0.02, 0.1),
     ),
+    "variety": lambda m: _band(m["n_distinct"] / max(1, m["n_words"]) ** 0.8, 0.6, 1.0, INF, INF),
+    "capitals": lambda m: _band(m["n_upper"] / max(1, m["n_ascii_letters"]), -1, 0, 0.15, 0.4),
+    "exclaiming": lambda m: _band(m["n_shouts"] / max(1, m["n_words"]), -1, 0, 0.02, 0.1),
     "digits": lambda m: _band(m["n_digits"] / max(1, m["word_chars"]), -1, 0, 0.1, 0.25),
     "sentences": lambda m: _band(m["n_ended"] / m["n_lines"], 0.05, 0.5, INF, INF) if m["n_lines"] >= 3 else ABSTAIN,
 }
@@ -143,24 +144,24 @@ def fit(codes: np.ndarray, counts: np.ndarray, steps: int = EM_STEPS) -> np.ndar
     """Posterior probability of good for each vote pattern.
 
     Two latent classes, votes independent within a class, abstaining uninformative. Each rule
-    has its accuracy on good and on bad documents. Priors say that a rule
-    rarely blames a good document and knows only some kinds of junk, so that kinds which share
-    no rule still end in one class. Signs of the same kind of junk are one rule, as votes are
-    taken to be independent.
+    has its accuracy on good and on bad documents, learned from how far other rules agree with
+    it; priors weigh as much as PRIOR_DOCS documents. Every kind of junk has two rules or more,
+    so a rule whose bad votes no other rule shares is one that misjudges good documents.
     """
     votes = votes_of(codes)
     good, bad = votes == GOOD, votes == BAD
-    post = np.where(bad.any(axis=1), 0.05, 0.98)
+    post = np.choose(np.minimum(bad.sum(axis=1), 2), [0.98, 0.5, 0.05])
     weight = counts.astype(float)
-    heavy = PRECISION_WEIGHT * weight.sum()
     for _ in range(steps):
         g, b = weight * post, weight * (1 - post)
         prior = (g.sum() + 1) / (weight.sum() + 2)
-        right_good = (g @ good + PRECISION * heavy) / (g @ (good | bad) + heavy)
-        right_bad = (b @ bad + RECALL * b.sum() + 1) / (b @ (good | bad) + b.sum() + 2)
-        up = np.log(prior) + good @ np.log(right_good) + bad @ np.log1p(-np.minimum(right_good, 1 - 1e-9))
-        down = np.log1p(-prior) + bad @ np.log(right_bad) + good @ np.log1p(-np.minimum(right_bad, 1 - 1e-9))
-        post = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
+        right_good = (g @ good + PRECISION * PRIOR_DOCS) / (g @ (good | bad) + PRIOR_DOCS)
+        right_bad = (b @ bad + RECALL * PRIOR_DOCS) / (b @ (good | bad) + PRIOR_DOCS)
+        up = np.log(prior) + good @ np.log(right_good) + bad @ np.log1p(-right_good)
+        down = np.log1p(-prior) + bad @ np.log(right_bad) + good @ np.log1p(-right_bad)
+        before, post = post, 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
+        if np.abs(post - before).max() < 1e-9:
+            break
     return post
 
 

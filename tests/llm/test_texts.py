@@ -117,6 +117,27 @@ def test_quality_verdicts_on_held_out_kinds(spark):
     assert quality_rules.apply_rules(spark.createDataFrame([], "doc_id bigint, text string, kept int")).columns[-1] == "kept_"
 
 
+def test_quality_keeps_a_source_that_one_rule_misjudges(spark):
+    rng = random.Random(9)
+    words = lambda n: [f"{'bcdfgl'[rng.randrange(6)]}{'aeiou'[rng.randrange(5)]}w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n)]
+    good = [". ".join(" ".join(words(9)).capitalize() for _ in range(8)) + "." for _ in range(400)]
+    verse = ["\n".join(" ".join(words(6)).capitalize() for _ in range(12)) for _ in range(200)]
+    junk = [" ".join(w + "###" for w in words(60)) for _ in range(20)] + [" ".join(w.upper() + "!!" for w in words(60)) for _ in range(20)]
+    got = {r.doc_id: r for r in quality_rules.digest(frame(spark, good + verse + junk)).collect()}
+    assert all(got[d].kept for d in range(600)) and not any(got[d].kept for d in range(600, 640))
+
+
+@pytest.mark.parametrize("size", [300, 3_000_000])
+def test_quality_learns_accuracies_at_any_size(size):
+    votes = lambda **bad: sum(bad.get(r, quality_rules.GOOD) * 3 ** (len(quality_rules.RULES) - 1 - k) for k, r in enumerate(quality_rules.RULES))
+    bad = lambda *rules: votes(**dict.fromkeys(rules, quality_rules.BAD))
+    kinds = [("symbols", "odd_words"), ("repetition", "variety"), ("capitals", "exclaiming")]
+    for rule in list(quality_rules.RULES)[1:]:
+        junk = [bad(*k) for k in kinds if rule not in k]
+        post = quality_rules.fit(np.array([votes(), bad(rule), *junk]), np.array([size, size // 2, *[size // 20] * len(junk)]))
+        assert (post[:2] > 0.5).all() and (post[2:] < 0.5).all(), rule
+
+
 # repeated spans -------------------------------------------------------------
 
 
