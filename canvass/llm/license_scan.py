@@ -5,9 +5,9 @@ Words are runs of letters and digits in lower case, shingles five words. A windo
 shingles and windows start at every second one, so each shingle lies in two windows. A window's
 band is the least of its four hashes under the band's seed. Templates have windows at every
 shingle. Where a document holds a whole template of at least three shingles, one of its windows
-equals a template's or shares three quarters of it; a single shingle of a one-shingle template
-is the least of four in one band with probability 1/4, and there are two windows of BANDS bands:
-it is missed with probability 0.75 ** (2 * BANDS), about 1 in 1000.
+equals a template's or has all but one of its shingles in one of the template's: it is missed with
+probability 0.25 ** BANDS at most, 6 in 100 million. Shorter templates make up half a window at
+most, so they are retrieved by their exact shingles and never missed.
 
 A retrieved template counts where at least ``containment`` of its distinct shingles lie within a
 stretch of three times its length around the window.
@@ -30,6 +30,8 @@ from .storage import written
 WORDS = 5
 WINDOW = 4
 BANDS = 12
+#: Templates of so many shingles at most are retrieved by exact shingles.
+SHORT = 2
 CONTAINMENT = 0.8
 
 #: Public notices by which texts state their license.
@@ -99,10 +101,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     length = F.col("size").cast("bigint") + WINDOW
     retrieved = hits.select("row", "doc_id", "pos", F.posexplode("bands").alias("band", "value")).join(bands, ["band", "value"])
     retrieved = retrieved.join(F.broadcast(shingles.select("license", "size").distinct()), "license")
-    retrieved = retrieved.select("row", "doc_id", "license", F.floor(F.col("pos") / length).alias("stretch")).distinct()
     # A window's first two shingles, so that each shingle counts at its own place once.
-    placed = hits.select("row", F.explode(F.array(F.struct("pos", F.col("h0").alias("h")), F.struct((F.col("pos") + 1).alias("pos"), F.col("h1").alias("h")))).alias("s")).select("row", "s.pos", "s.h")
-    placed = placed.join(shingles, "h").select("row", "license", "size", "h", "pos", F.explode(F.array(*[F.floor(F.col("pos") / length) + d for d in (-1, 0, 1)])).alias("stretch"))
+    placed = hits.select("row", "doc_id", F.explode(F.array(F.struct("pos", F.col("h0").alias("h")), F.struct((F.col("pos") + 1).alias("pos"), F.col("h1").alias("h")))).alias("s")).select("row", "doc_id", "s.pos", "s.h")
+    placed = placed.join(shingles, "h")
+    at_hit = ["row", "doc_id", "license", F.floor(F.col("pos") / length).alias("stretch")]
+    retrieved = retrieved.select(*at_hit).union(placed.where(F.col("size") <= SHORT).select(*at_hit)).distinct()
+    placed = placed.select("row", "license", "size", "h", "pos", F.explode(F.array(*[F.floor(F.col("pos") / length) + d for d in (-1, 0, 1)])).alias("stretch"))
     checked = retrieved.join(placed, ["row", "license", "stretch"]).groupBy("row", "doc_id", "license", "size", "stretch").agg(F.countDistinct("h").alias("n"), F.min("pos").cast("bigint").alias("at"))
     best = checked.select("row", "doc_id", "license", (F.col("n") / F.col("size")).alias("containment"), "at").where(F.col("containment") >= containment)
     return best.groupBy("row", "doc_id", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("first_shingle")).drop("row")

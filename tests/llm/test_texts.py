@@ -218,6 +218,15 @@ def test_license_scan(spark):
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(frame(spark, texts), templates={}).count() == 0
 
 
+def test_license_scan_misses_no_short_notice(spark):
+    rng = random.Random(10)
+    filler = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    templates = {**license_scan.TEMPLATES, "two": "Free to use by anyone here."}
+    texts = [f"{filler(k)} {t} {filler(20)}" for t in (templates["MIT"], templates["two"]) for k in [0] * 200 + [1, 2, 9] * 100]
+    found = {(r.doc_id, r.license) for r in license_scan.scan(frame(spark, texts), templates=templates).collect()}
+    assert found == brute_licenses(texts, templates, 0.8) and len(found) == len(texts)
+
+
 # language model -------------------------------------------------------------
 
 
