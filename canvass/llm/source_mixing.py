@@ -11,6 +11,12 @@ metric in which long and short documents move alike, with the inverse of the dom
 as step size. A step needs the domains' totals only, one small aggregate; rates are a nested
 expression of the posteriors, so no state is written between steps.
 
+The targets are WEIGHTS of the largest budget, up to all words, that asks no domain for more than
+MAX_EPOCHS of its words. Only where a domain is so scarce that clean words would have to go for
+it, it takes what MAX_EPOCHS allows and the others keep their weights among themselves. Where the
+classifier can't tell domains apart, nonnegative rates can leave a share short of its target. Both
+are logged as warnings, with figures.
+
 The labelled sample is bounded by MAX_LABELLED rows (least hash of the id), the word list by
 MARKERS words a domain; word totals and the fit cover all documents.
 
@@ -22,6 +28,8 @@ gives an empty table.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +45,7 @@ MAX_LABELLED = 20_000
 MARKERS = 400
 LEVELS = 4
 STEPS = 25
+LOG = logging.getLogger(__name__)
 
 
 def _words(text_col: str) -> Column:
@@ -93,6 +102,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Cla
     return model
 
 
+def goals(have: np.ndarray, share: np.ndarray, max_epochs: float) -> np.ndarray:
+    """The words that each domain should have."""
+    total = have.sum()
+    there = (share > 0) & (have > 1e-9 * total)
+    budget = min([total, *(max_epochs * have[there] / share[there])])
+    if share[0] > 0:
+        budget = max(budget, have[0] / share[0])  # so large that clean words need not go for a scarce domain
+    return np.minimum(share * budget, max_epochs * have)
+
+
+def _tell(report: dict, share: np.ndarray) -> None:
+    """Logs the domains' shares, as a warning where the targets are not met."""
+    shares = [share, *(np.array(report[k]) / max(1e-9, sum(report[k])) for k in ("have", "goal", "reached"))]
+    met = np.abs(shares[3] - shares[0]).max() <= 0.001 or not sum(report["have"])
+    text = "; ".join(f"{d}: target {w:.4f}, present {h:.4f}, goal {g:.4f}, reached {r:.4f}" for d, w, h, g, r in zip(DOMAINS, *shares, strict=True))
+    LOG.log(logging.INFO if met else logging.WARNING, "mixing shares %s (%s)", "met" if met else "not met", text)
+
+
 def fit(totals: DataFrame, weights: dict[str, float], max_epochs: float) -> tuple[list[np.ndarray], dict]:
     """Step vectors, and a report, for rows (p_<domain>, words)."""
     k = len(DOMAINS)
@@ -101,9 +128,7 @@ def fit(totals: DataFrame, weights: dict[str, float], max_epochs: float) -> tupl
     have, gram = np.array(sums[:k], float), np.array(sums[k:], float).reshape(k, k)
     total = have.sum()
     share = np.array([weights[d] for d in DOMAINS])
-    # So large that clean words, where their weight is below their share, need not go.
-    budget = max(total, have[0] / share[0]) if share[0] > 0 else total
-    goal = np.minimum(share * budget, max_epochs * have)
+    goal = goals(have, share, max_epochs)
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(1.0, total))
     steps: list[np.ndarray] = []
     now = have
@@ -143,7 +168,8 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     tally = features(docs.select(text_col)).groupBy(F.col(cell).alias("cell")).agg(F.sum(words).alias("words"))
     totals = written(tally.select("words", *[model.posterior(F.col("cell"), d).alias(f"p_{d}") for d in DOMAINS]), "mix-totals")
-    steps, _ = fit(totals, weights, max_epochs)
+    steps, report = fit(totals, weights, max_epochs)
+    _tell(report, np.array([weights[d] for d in DOMAINS]))
     posterior = [model.posterior(F.col(cell), d) for d in DOMAINS]
     added: list[str] = []
     for c in ("n_mix_words", *[f"p_{d}" for d in DOMAINS], "rate", "copies"):

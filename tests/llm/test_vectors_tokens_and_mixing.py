@@ -177,6 +177,32 @@ def test_rates_are_those_of_least_squares():
     assert np.abs(p.T @ (words * rate) - goal).max() < 0.01 * words.sum()
 
 
+def test_mixing_holds_shares_where_clean_words_are_few(spark):
+    rng = random.Random(11)
+    texts, labels = [], []
+    for k in range(900):
+        kind = "low" if k % 10 < 3 else "toxic" if k % 10 < 5 else "clean"
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(20, 60))] + {"low": ["&&&", "|"], "toxic": ["idiot", "scum"], "clean": []}[kind]
+        texts.append((k, " ".join(words)))
+        labels.append((k, int(kind != "low"), int(kind == "toxic")))
+    docs, known = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = source_mixing.mix(docs, known).collect()
+    reached = np.array([sum(r.rate * r.n_mix_words * r[f"p_{d}"] for r in rows) for d in source_mixing.DOMAINS])
+    assert reached / reached.sum() == pytest.approx([0.96, 0.02, 0.02], abs=0.004)
+
+
+def test_mixing_goals():
+    share = np.array([0.96, 0.02, 0.02])
+    for have in ([0.5, 0.3, 0.2], [0.77, 0.11, 0.12], [0.9, 0.05, 0.05], [0.1, 0.1, 0.8]):
+        goal = source_mixing.goals(np.array(have), share, 1.05)
+        assert goal / goal.sum() == pytest.approx(share) and (goal <= 1.05 * np.array(have) + 1e-12).all()
+        assert goal.sum() == pytest.approx(min(1, 1.05 * have[0] / 0.96))
+    scarce = source_mixing.goals(np.array([0.86, 0.0004, 0.1396]), share, 1.05)
+    assert scarce == pytest.approx([0.86, 0.00042, 0.86 / 48])
+    assert source_mixing.goals(np.array([1.0, 0.0, 0.0]), share, 1.05) == pytest.approx([1, 0, 0])
+    assert source_mixing.goals(np.zeros(3), share, 1.05).tolist() == [0, 0, 0]
+
+
 def test_mixing_without_labels_or_rows(spark):
     docs, labels = mixing_tables(spark)
     out = source_mixing.resample(docs, labels.limit(0))
