@@ -38,12 +38,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.kind = self._kind(spec)
+        added = spec.get("added_tokens") or []
+        #: The library takes these out of a text before it splits it; such texts are not split here.
+        self.added = [t["content"] for t in added]
+        self.kind = "whole" if any(t["normalized"] or t["content"].isalpha() for t in added) else self._kind(spec)
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._clear()
 
@@ -123,7 +125,7 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        split = self._split(text) if self.kind != "whole" else None
+        split = self._split(text) if self.kind != "whole" and not any(c in text for c in self.added) else None
         if split is None:
             return self.whole(text)
         pieces, starts = split

@@ -25,6 +25,16 @@ def test_cached_encoder_equals_the_library(path, monkeypatch):
             assert encoder.encode(t).tolist() == encoder.whole(t).tolist(), t
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_equals_a_fresh_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    odd = [*ODD, "a <|endoftext|> b", "A <|ENDOFTEXT|> b", "<|startoftext|>a b<|endoftext|>", "x<|endoftext|>y z\n<|endoftext|>", "<|endoftext |> a"]
+    for t in odd:
+        assert encoder.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files_round_trip(spark, tmp_path):
     texts = [None, *ODD, "long " * 3000]
     rows = [(10 * k + 3, t) for k, t in enumerate(texts)]
