@@ -1,108 +1,108 @@
-"""A pair of Bloom filters for keys seen once and keys seen twice.
-
-Every task fills its own pair over the keys it reads; the pairs are merged by segment of
-the bitmap. The merge keeps no false negatives: a key met in two tasks has all its bits
-in both "once" bitmaps, so the AND of the two joins the "twice" bitmap.
-
-The bitmap has a fixed upper size (``MAX_BITS``), so what is broadcast is bounded. Over
-more keys than it was sized for it only lets more keys through to the exact step behind it.
+"""A pair of Bloom filters, for keys seen once and keys seen twice, by range of the hash.
+
+Whoever looks for repeated keys cuts its input into blocks and sends each range of hashes the
+block's keys in it, as one packed row (``asks``). The owner of a range fills its two filters block
+by block and then answers each block with the places of its keys that were seen twice. The number
+of ranges follows the number of keys, so a filter keeps its size and its rate of false positives
+at any size of the input, and nothing is broadcast or sent to the driver. A key that is very
+common comes once from each block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_BITS = 1 << 27
-SEGMENT = 1 << 19
-PROBES = 3
+from .packed import bounds, pack, small, unpack
+from .storage import written
+
+#: Keys that a range is planned for, and the bits of a filter for each; both filters and the packed keys of a range are held by one task.
+RANGE_KEYS = 8_000_000
 BITS_PER_KEY = 12
+PROBES = 3
+LEAST_BITS = 1 << 16
+
+ASK = "block bigint, span int, data binary"
+FOUND = "block bigint, keys binary, places binary"
+
+
+def ranges_for(keys: int, parts: int) -> int:
+    return max(parts, -(-keys // RANGE_KEYS))
 
 
 def bits_for(keys: int) -> int:
-    """Bitmap size in bits: a power of two of whole segments, at most MAX_BITS."""
-    want = max(SEGMENT, keys * BITS_PER_KEY)
-    return min(MAX_BITS, 1 << int(np.ceil(np.log2(want))))
+    """Bits of a filter: a power of two."""
+    return 1 << int(np.ceil(np.log2(max(LEAST_BITS, keys * BITS_PER_KEY))))
 
 
 def _positions(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    step = (keys >> np.uint64(32)) | np.uint64(1)
-    return [((keys + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
+    with np.errstate(over="ignore"):
+        mixed = keys * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        step = (mixed >> np.uint64(32)) | np.uint64(1)
+        return [((mixed + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(PROBES)]
 
 
-def _put(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> None:
-    for p in _positions(keys, bits):
+def put(bitmap: np.ndarray, keys: np.ndarray) -> None:
+    for p in _positions(keys, len(bitmap) * 8):
         np.bitwise_or.at(bitmap, p >> 3, (1 << (p & 7)).astype(np.uint8))
 
 
 def contains(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the 64-bit ``keys`` may be in ``bitmap`` (uint8 array)."""
-    bits = len(bitmap) * 8
     found = np.ones(len(keys), bool)
-    for p in _positions(keys, bits):
+    for p in _positions(keys, len(bitmap) * 8):
         found &= (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return found
 
 
-def _packed(bitmap: np.ndarray) -> bytes:
-    """Sparse segments as 32-bit positions behind a 1, others as the bitmap behind a 0."""
-    if int(np.bitwise_count(bitmap).sum()) * 4 < len(bitmap):
-        return b"\1" + np.flatnonzero(np.unpackbits(bitmap, bitorder="little")).astype("<u4").tobytes()
-    return b"\0" + bitmap.tobytes()
+def asks(block: int, keys: np.ndarray, ranges: int) -> list[tuple[int, int, bytes]]:
+    """The rows of a block for its uint64 keys, repeated ones included; a place is an index into ``keys``."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    at = bounds(ordered, ranges)
+    return [(block, k, pack(ordered[at[k] : at[k + 1]], small(order[at[k] : at[k + 1]]))) for k in np.flatnonzero(np.diff(at)).tolist()]
 
 
-def _unpacked(data: bytes, size: int) -> np.ndarray:
-    if data[0] == 0:
-        return np.frombuffer(data, np.uint8, offset=1).copy()
-    bits = np.zeros(size * 8, np.uint8)
-    bits[np.frombuffer(data, "<u4", offset=1)] = 1
-    return np.packbits(bits, bitorder="little")
+def answer(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
+    """For the (block, data) of one range: to each block its keys seen twice in all, and their places."""
+    total = sum(len(unpack(data)[1]) for _, data in held)
+    once, twice = np.zeros(bits_for(total) // 8, np.uint8), np.zeros(bits_for(total) // 8, np.uint8)
+    for _, data in held:
+        keys, counts = np.unique(unpack(data)[0], return_counts=True)
+        put(twice, keys[(counts > 1) | contains(once, keys)])
+        put(once, keys)
+    for block, data in held:
+        keys, places = unpack(data)
+        hit = contains(twice, keys)
+        if hit.any():
+            yield block, keys[hit].tobytes(), places[hit].astype("<i8").tobytes()
 
 
-def twice_seen(df: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], expected: int) -> np.ndarray:
-    """Bitmap of the keys that ``keys_of`` yields at least twice over all batches of ``df``.
+def repeated(asked: DataFrame, name: str) -> DataFrame:
+    """Written rows (block, keys, places): uint64 keys and 64-bit places of the keys of ``asked``
+    (block, span, data) that may occur twice in all. False positives are possible, false negatives not."""
 
-    ``keys_of(batch)`` gives uint64 keys. False positives are possible, false negatives are not.
-    The result has at most MAX_BITS bits, whatever the number of rows.
-    """
-    bits = bits_for(expected)
-    size = SEGMENT // 8
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, held = None, []
+
+        def done() -> pa.RecordBatch:
+            cols = list(zip(*answer(held), strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "places"])
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            keys, counts = np.unique(keys_of(batch), return_counts=True)
-            if not len(keys):
-                continue
-            again = (counts > 1) | contains(once, keys)
-            _put(twice, keys[again], bits)
-            _put(once, keys, bits)
-        for k in range(bits // SEGMENT):
-            a, b = once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size]
-            if a.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "once": [_packed(a)], "twice": [_packed(b)]})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                o, t = _unpacked(a, size), _unpacked(b, size)
-                if k in held:
-                    before, more = held[k]
-                    t |= more | (before & o)
-                    o |= before
-                held[k] = (o, t)
-        for k, (_, t) in held.items():
-            if t.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "twice": [_packed(t)]})
-
-    parts = max(1, min(bits // SEGMENT, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    filled = df.mapInArrow(fill, "segment int, once binary, twice binary")
-    rows = filled.repartition(parts, "segment").mapInArrow(merge, "segment int, twice binary").collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        out[r.segment * size : (r.segment + 1) * size] = _unpacked(bytes(r.twice), size)
-    return out
+            for block, s, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != span and held:
+                    yield done()
+                    held = []
+                span = s
+                held.append((block, data))
+        if held:
+            yield done()
+
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.select("block", "span", "data").repartition(parts, "span").sortWithinPartitions("span", "block")
+    return written(dealt.mapInArrow(own, FOUND), name)

@@ -5,41 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, option, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    # Written, so that the join below shuffles both sides and its hot keys can be split.
+    least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     rest = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionAll(least.select("u", F.col("m").alias("v")))
+    return rest.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link.
 
-    ``links`` holds pairs of bigint nodes. Each round is a written table, so the plan stays
-    short and a lost executor costs one round. Hot nodes are pre-aggregated by min() before
-    the shuffle and their join is one that AQE can split.
+    ``links`` holds pairs of bigint nodes. Each step is a written table, so the plan stays short
+    and a lost executor costs one step. Hot nodes are pre-aggregated by min() before the shuffle
+    and their join is one that AQE can split.
     """
-    links.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
-    edges = written(links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
-        edges = written(_small_star(_large_star(edges)).distinct(), "star")
-        # A star forest maps to itself: number and sum of the pairs then stay as they are.
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    spark = links.sparkSession
+    # Rows of one node must meet whatever Spark infers about unions.
+    with option(spark, "spark.sql.unionOutputPartitioning", "false"):
+        edges = written(links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v").distinct(), "links")
+        before = None
+        while True:
+            large, least = _large_star(edges)
+            star = written(large, "star")
+            discard(edges, least)
+            small, least = _small_star(star)
+            edges = written(small, "star")
+            discard(star, least)
+            # A star forest maps to itself: number and sums of the pairs then stay as they are.
+            now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if before == now:
+                break
+            before = now
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots), "components")
+        discard(edges)
+        return out
 
 
 class Groups:

@@ -26,12 +26,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import released, written
+from .packed import bounds as _bounds
+from .packed import pack as _pack
+from .packed import small as _small
+from .packed import unpack as _unpack
+from .storage import written
 
 FOLDS, HELD_FOLD = 5, 1
 #: Counts up to this are discounted.
@@ -45,45 +48,6 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 ROW = "block bigint, bucket int, kind string, data binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: sorted uint64 by differences, all with their bytes regrouped, compressed."""
-    parts = []
-    for a in arrays:
-        rising = a.dtype == np.uint64
-        body = np.diff(a, prepend=np.uint64(0)) if rising else a
-        planes = np.ascontiguousarray(body).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
-        head = f"{a.dtype.str}:{len(a)};".encode()
-        parts += [head, planes]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    out, at = [], 0
-    while at < len(raw):
-        end = raw.index(b";", at)
-        kind, _, n = raw[at:end].decode().rpartition(":")
-        dtype, n = np.dtype(kind), int(n)
-        size = n * dtype.itemsize
-        body = np.frombuffer(raw, np.uint8, size, end + 1).reshape(dtype.itemsize, n).T
-        a = np.ascontiguousarray(body).view(dtype).reshape(n)
-        out.append(np.cumsum(a, dtype=np.uint64) if dtype == np.uint64 else a)
-        at = end + 1 + size
-    return out
-
-
-def _small(a: np.ndarray) -> np.ndarray:
-    """Counts in the smallest unsigned type that is not the one of sorted keys."""
-    top = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if top < 256 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
-
-
-def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where sorted keys pass from bucket to bucket (buckets are ranges of the hash)."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
-
-
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["block", "bucket", "kind", "data"])
@@ -319,9 +283,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield _rows(sliced(block, keys, [_small(counts)]))
 
     words = _exchange(blocks.mapInArrow(ask_words, ROW), buckets, _count_answer, "lm-words")
-    released(spark)
     pairs = _exchange(blocks.mapInArrow(ask_bigrams, ROW), buckets, _count_answer, "lm-bigrams")
-    released(spark)
     model = Model(_stats(words), _stats(pairs))
     as_kind = lambda t, kind: t.where("kind = 'answer'").withColumn("kind", F.lit(kind))
     words, pairs = as_kind(words, "words"), as_kind(pairs, "pairs")
@@ -340,7 +302,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield _rows(sliced(block, b.words, [_small(uses), lower, *rare]))
 
     weights = _exchange(_by_block([blocks, words, pairs], buckets).mapInArrow(ask_weights, ROW), buckets, lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
-    released(spark)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _each_block(batches):

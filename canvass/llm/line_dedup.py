@@ -1,4 +1,8 @@
-"""Line dedup: two Bloom filters find suspected repeats, which alone are shuffled and confirmed.
+"""Line dedup: two Bloom filters find suspected repeats, which alone are confirmed.
+
+A pass over the texts sends 64-bit hashes of keys, packed, to the filters; the filters grow with
+the number of lines (see ``bloom``). Suspected keys alone go on, as 128-bit digests with the ids of
+their documents, to be confirmed; the texts then meet the digests of the lines that they lose.
 
 A line's key is the line without ASCII white space at both ends, A-Z in lower case. Keys of at
 least ``min_chars`` code points found in at least ``min_docs`` distinct documents lose all their
@@ -16,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import contains, twice_seen
-from .storage import fresh, written
+from .bloom import ASK, asks, ranges_for, repeated
+from .storage import discard, fresh, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Keys of a block of documents.
+BLOCK_KEYS = 500_000
 SPACE = b" \t\n\v\f\r"
 
 
@@ -43,14 +49,6 @@ def keyed_lines(raw: bytes, min_chars: int) -> tuple[list[bytes], list[bytes | N
     return lines, keys
 
 
-def _doc_keys(raw: bytes | None, min_chars: int) -> set[bytes]:
-    return {k for k in keyed_lines(raw, min_chars)[1] if k is not None} if raw else set()
-
-
-def _hashes(keys: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-
-
 def _digest(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=16).digest()
 
@@ -65,74 +63,84 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines, n_dropped = fresh(names, "n_lines"), fresh(names, "n_dropped")
     drop_col = fresh(names, "drop_keys")
     raw = F.col(text_col).cast("binary")
-    expected = docs.select(F.sum(F.length(raw) - F.length(F.regexp_replace(text_col, "\n", "")) + 1)).first()[0] or 0
-
-    def batch_keys(batch: pa.RecordBatch) -> np.ndarray:
-        return _hashes([k for text in batch.column(0).to_pylist() for k in _doc_keys(text, min_chars)])
-
-    bitmap = spark.sparkContext.broadcast(twice_seen(docs.select(raw.alias("raw")), batch_keys, int(expected)))
-
-    def suspects(texts: list[bytes | None]) -> list[list[bytes]]:
-        per_doc = [sorted(_doc_keys(t, min_chars)) for t in texts]
-        flat = [k for keys in per_doc for k in keys]
-        hit = contains(bitmap.value, _hashes(flat)) if flat else np.zeros(0, bool)
-        out, at = [], 0
-        for keys in per_doc:
-            out.append([k for k, h in zip(keys, hit[at : at + len(keys)], strict=True) if h])
-            at += len(keys)
-        return out
+    known = docs.where(F.col(id_col).isNotNull())
+    # A key takes min_chars bytes and a line break at least.
+    most = (known.select(F.sum(F.length(raw))).first()[0] or 0) // (min_chars + 1)
+    ranges = ranges_for(int(most), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks: a row with the ids and the digests of their keys (span -1), and what it asks of the filters."""
+        part, number = TaskContext.get().partitionId(), 0
+        ids: list[int] = []
+        found: list[bytes] = []
+
+        def closed() -> pa.RecordBatch:
+            block = (part << 32) + number
+            data = b"".join(found)
+            rows = [(block, -1, np.array(ids, "<i8").tobytes() + data), *asks(block, np.frombuffer(data, "<u8")[::2], ranges)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "span", "data"])
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, found in zip(batch.column(0).to_pylist(), suspects(batch.column(1).to_pylist()), strict=True):
-                ids += [doc] * len(found)
-                keys += map(_digest, found)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.binary())})
-
-    known = docs.where(F.col(id_col).isNotNull())
-    seen = written(known.select(F.col(id_col).cast("bigint").alias("id"), raw.alias("raw")).mapInArrow(occurrences, "id bigint, key binary"), "line-suspects")
-    repeated = seen.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
-    drops = seen.join(repeated, "key").where("id <> last").groupBy("id").agg(F.collect_set("key").alias(drop_col))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = {k for k in keyed_lines(text.as_py(), min_chars)[1] if k is not None} if text.is_valid else ()
+                found += map(_digest, keys)
+                ids += [doc] * len(keys)
+                if len(ids) > BLOCK_KEYS:
+                    yield closed()
+                    number, ids, found = number + 1, [], []
+        if ids:
+            yield closed()
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, digests = None, None, b""
+        for batch in batches:
+            for b, span, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if span == -1:
+                    n = len(data) // 24
+                    block, ids, digests = b, np.frombuffer(data, "<i8", n), data[8 * n :]
+                    continue
+                assert b == block
+                places = np.frombuffer(data, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[places]), pa.array([digests[16 * k : 16 * k + 16] for k in places.tolist()], pa.binary())], names=["id", "key"])
+
+    blocks = written(known.select(F.col(id_col).cast("bigint").alias("id"), raw.alias("raw")).mapInArrow(gather, ASK), "line-blocks")
+    again = repeated(blocks.where("span >= 0"), "line-repeats")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = blocks.where("span = -1").unionAll(again.select("block", F.lit(0).alias("span"), F.col("places").alias("data")))
+    seen = written(both.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(suspects, "id bigint, key binary"), "line-suspects")
+    discard(blocks, again)
+    # Written, so that the join shuffles both of its sides and a very common line can be split.
+    common = written(seen.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("key", "last"), "repeated-lines")
+    drops = seen.join(common, "key").where("id <> last").groupBy("id").agg(F.collect_set("key").alias(drop_col))
 
-    fields = [f for f in docs.schema.fields]
     text_at = names.index(text_col)
-    out_schema = T.StructType([*fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-
-    def pass_through(keep_suspects: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                has = [bool(x) for x in suspects(batch.column(batch.num_columns - 1).to_pylist())]
-                part = batch.filter(pa.array([h == keep_suspects for h in has], pa.bool_()))
-                cols = part.columns[:-1]
-                if not keep_suspects:
-                    n = pa.array([(t or b"").count(b"\n") + 1 for t in part.column(part.num_columns - 1).to_pylist()], pa.int64())
-                    cols += [n, pa.array([0] * part.num_rows, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*names, n_lines, n_dropped])
-                else:
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
-
-        return run
+    out_schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, dropped = [], [], []
-            for text, keys in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                gone = set(keys or ())
-                lines, own = keyed_lines(text.encode(), min_chars) if text is not None else ([b""], [None])
-                keep = [x for x, k in zip(lines, own, strict=True) if k is None or not gone or _digest(k) not in gone]
-                texts.append(None if text is None else b"\n".join(keep))
+            for text, gone in zip(batch.column(text_at), batch.column(len(names)).to_pylist(), strict=True):
+                text = text.as_py()
+                if not gone:
+                    counts.append((text or "").count("\n") + 1)
+                    dropped.append(0)
+                    texts.append(text)
+                    continue
+                drop = set(gone)
+                lines, own = keyed_lines(text.encode() if text else b"", min_chars)
+                keep = [x for x, k in zip(lines, own, strict=True) if k is None or _digest(k) not in drop]
+                texts.append(None if text is None else b"\n".join(keep).decode())
                 counts.append(len(lines))
                 dropped.append(len(lines) - len(keep))
             cols = batch.columns[: len(names)]
-            cols[text_at] = pa.array(texts, pa.binary()).cast(pa.string()) if texts else pa.array([], pa.string())
+            cols[text_at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, n_lines, n_dropped])
 
-    tagged = docs.withColumn(fresh(names, "raw"), raw)
-    clean = tagged.mapInArrow(pass_through(False), out_schema)
-    suspected = tagged.mapInArrow(pass_through(True), docs.schema)
-    joined = suspected.join(drops.withColumnRenamed("id", fresh([*names, drop_col], "drop_id")), F.col(id_col).cast("bigint") == F.col(fresh([*names, drop_col], "drop_id")), "left").select(*[F.col(f"`{c}`") for c in names], drop_col)
-    return clean.unionByName(joined.mapInArrow(cut, out_schema))
+    drop_id = fresh([*names, drop_col], "drop_id")
+    own = [F.col(f"`{c}`") for c in names]
+    joined = known.join(drops.withColumnRenamed("id", drop_id), F.col(id_col).cast("bigint") == F.col(drop_id), "left").select(*own, drop_col)
+    nameless = docs.where(F.col(id_col).isNull()).select(*own, F.lit(None).cast("array<binary>").alias(drop_col))
+    return joined.mapInArrow(cut, out_schema).unionByName(nameless.mapInArrow(cut, out_schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,23 +1,23 @@
 """Removal of every byte covered by a long byte string that also starts elsewhere.
 
-The order of all suffixes is needed only where a string of ``length`` bytes occurs twice, so
-suffixes are sorted a bucket at a time, and only those of suspected buckets:
+The order of suffixes is needed only where a string of ``length`` bytes occurs twice. So suffixes
+are dealt into buckets, only buckets that may hold two equal strings are kept, and these are sorted
+a block of buckets at a time, with a difference cover (``suffixes``):
 
-1. Cover. Each string of ``length`` bytes chooses the position inside it whose ``GRAM`` bytes have
+1. Buckets. Each string of ``length`` bytes chooses the position inside it whose ``GRAM`` bytes have
    the least hash (the last one on ties). The choice depends on the string's bytes alone, so equal
-   strings choose alike: the chosen positions are a difference cover for equal strings. They are
-   about one position in 170; a periodic difference cover with the same guarantee has one in 16
-   (18 residues of 307), each of whose samples would have to be ranked.
-2. Buckets. A bucket has the strings that chose equal grams. Two Bloom filters find the grams seen
-   twice; only those positions are sent, with the bytes of the strings that chose them. Equal
-   surroundings are one, with a count.
-3. Ranks. In a bucket strings are compared where they start at the same distance before the gram;
-   ties are resolved by the precomputed rolling ranks (64-bit hashes) of whole strings. With the
-   gram and the distance equal too, two different strings are never taken for equal in practice.
-
-Buckets of very many different surroundings (``HOT``) are dealt by string instead of by gram.
-
-Texts are known by their hash, so copies cost one; they are removed whole where they are long
+   strings choose equal grams, at the same distance. A bucket has the strings that chose one gram.
+   A pass over the texts writes the chosen positions (about one in 170); grams chosen at one place
+   only are dropped. Equal surroundings of a gram are one, with a mark; the bytes of one of each are
+   fetched.
+2. Sorting. A task takes blocks of whole buckets. In a block the samples of a periodic difference
+   cover are ranked, suffixes are sorted by their first bytes, and long ties are resolved by the
+   ranks of samples. Strings are equal where all their bytes are; no hash decides.
+3. Buckets of more than ``hot`` different surroundings, such as those inside a passage that very many
+   texts share, would not fit a block: their strings are counted one by one under a 128-bit hash,
+   with partial sums before the shuffle.
+
+Texts are known by a 128-bit hash, so copies cost one; they are removed whole where they are long
 enough. Defined cases: null text is empty; rows that repeat an id are rows of their own; texts
 shorter than ``length`` stay; an empty table gives an empty table.
 """
@@ -29,18 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import contains, twice_seen
-from .storage import fresh, written
+from .storage import discard, fresh, written
+from .suffixes import repeated_starts
 
 LENGTH = 400
 GRAM = 64
 #: Long texts are read in pieces of so many string starts; at most 2**20.
 PIECE = 1 << 19
-HOT = 20_000
+#: Different surroundings in a bucket that is sorted in a block.
+HOT = 4000
+#: A block is closed beyond so many bytes.
+BLOCK_BYTES = 2_000_000
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -104,25 +107,19 @@ def choices(raw: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield h[chosen], chosen + at, first + at, last + at
 
 
-def bucket_repeats(rows: list[tuple[int, bytes, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For each (distance of the gram from the first start, bytes, count) of a bucket, the runs
-    [from, to] of string starts, within its bytes, that occur at least twice in the bucket."""
-    keys, sizes = [], []
-    for distance, data, _ in rows:
-        h = rolling(np.frombuffer(data, np.uint8), length)
-        with np.errstate(over="ignore"):
-            keys.append(_mix(h + (np.uint64(distance + (1 << 20)) - np.arange(len(h), dtype=np.uint64)) * _B))
-        sizes.append(len(h))
-    flat = np.concatenate(keys)
-    _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    again = count[place] > 1
-    out, at = [], 0
-    for (_, _, n), size in zip(rows, sizes, strict=True):
-        hit = np.ones(size, bool) if n > 1 else again[at : at + size]
-        at += size
-        edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
-        out.append(list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True)))
-    return out
+def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
+    """First and last place of each run of true values."""
+    edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
+    return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
+
+
+def block_repeats(rows: list[bytes], length: int) -> list[np.ndarray]:
+    """For each of the rows of a block, which of its string starts occur twice or more in the block."""
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    ends = np.cumsum([len(r) for r in rows])
+    sizes = np.array([len(r) - length + 1 for r in rows])
+    starts = np.repeat(ends - np.array([len(r) for r in rows]) - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return np.split(repeated_starts(data, starts, length), np.cumsum(sizes)[:-1])
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,154 +132,158 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _text_key(raw: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(raw)
+def _columns(rows: list[tuple], kinds: list[pa.DataType], names: str) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names.split())
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` plus n_bytes, n_removed, n_spans (bigint), spans (array of [start, end) in bytes)
-    and kept (binary: the bytes that stay, which may cut a character). Added names that docs has
-    already get a trailing underscore."""
-    spark = docs.sparkSession
-    names = docs.columns
-    raw = F.col(text_col).cast("binary")
-    total = docs.select(F.sum(F.length(raw))).first()[0] or 0
-
-    def grams(batch: pa.RecordBatch) -> np.ndarray:
-        found = [h for x in batch.column(0) if (t := x.as_py()) for h, *_ in choices(t, length)]
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+_LONG, _INT = pa.int64(), pa.int32()
+#: A surrounding: its gram, its bytes by hash, and how far the gram is from its first byte.
+AROUND = ["gram", "a1", "a2", "distance"]
 
-    bitmap = spark.sparkContext.broadcast(twice_seen(docs.select(raw.alias("raw")), grams, int(total) // 150 + 1))
 
-    def suspected(text: bytes) -> Iterator[tuple[int, int, int, int]]:
-        for h, place, first, last in choices(text, length):
-            hit = contains(bitmap.value, h)
-            yield from zip(h[hit].view(np.int64).tolist(), place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True)
+def _key(raw: Column) -> tuple[Column, Column]:
+    """A 128-bit hash of a text."""
+    return F.xxhash64(F.lit(1), raw).alias("k1"), F.xxhash64(F.lit(2), raw).alias("k2")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["gram", "around", "text_key", "start", "distance", "data"])
+def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
+    """(k1, k2, spans): for texts (k1, k2, raw) of at least ``length`` bytes, by key, the byte spans
+    [a, b) to remove, which may overlap."""
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
-            rows, size = [], 0
-            for x in batch.column(0):
-                text = x.as_py()
-                if not text or len(text) < length or (key := _text_key(text)) in met:
+            rows = []
+            for key, x in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2), strict=True):
+                if key in met:
                     continue
                 met.add(key)
-                for h, place, first, last in suspected(text):
-                    data = text[first : last + length]
-                    rows.append((h, xxhash.xxh3_128_digest(data), key, first, place - first, data))
-                    size += len(data)
-                    if size > 8_000_000:
-                        yield batch_of(rows)
-                        rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
-
-    found = written(docs.select(raw.alias("raw")).mapInArrow(gather, "gram bigint, around binary, text_key binary, start bigint, distance int, data binary"), "repeat-suspects")
-    around = found.groupBy("gram", "around", "distance").agg(F.countDistinct("text_key", "start").alias("n"), F.first("data").alias("data"))
-    around = written(around, "surroundings")
-    groups = around.groupBy("gram").agg(F.count("*").alias("size"), F.sum("n").alias("uses")).where("uses > 1")
+                text = x.as_py()
+                for h, place, first, last in choices(text, length):
+                    for g, p, a, b in zip(h.view(np.int64).tolist(), place.tolist(), first.tolist(), last.tolist(), strict=True):
+                        around = xxhash.xxh3_128_intdigest(text[a : b + length])
+                        rows.append((*key, g, p, a, b, (around >> 64) - (1 << 63), (around & (1 << 64) - 1) - (1 << 63)))
+            if len(met) > 100_000:
+                met.clear()
+            yield _columns(rows, [_LONG, _LONG, _LONG, _INT, _INT, _INT, _LONG, _LONG], "k1 k2 gram place first last a1 a2")
+
+    anchors = written(texts.mapInArrow(choose, "k1 bigint, k2 bigint, gram bigint, place int, first int, last int, a1 bigint, a2 bigint"), "anchors")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2", "place") for f in (F.min, F.max)]
+    again = anchors.groupBy("gram").agg(*ends).where("min_k1 <> max_k1 or min_k2 <> max_k2 or min_place <> max_place").select("gram")
+    again = written(again, "repeated-grams")
+    suspects = written(anchors.join(again, "gram").select("gram", "a1", "a2", (F.col("place") - F.col("first")).alias("distance"), "k1", "k2", "first", "last"), "suspects")
+    discard(anchors, again)
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2", "first") for f in (F.min, F.max)]
+    around = suspects.groupBy(*AROUND).agg(*ends, F.min(F.struct("k1", "k2", "first", "last")).alias("one"))
+    around = written(around.select(*AROUND, F.expr("min_k1 <> max_k1 or min_k2 <> max_k2 or min_first <> max_first").alias("many"), "one.*"), "surroundings")
+    groups = written(around.groupBy("gram").agg(F.count("*").alias("size"), F.max("many").alias("any")).where("size > 1 or any").select("gram", "size"), "buckets")
     live = around.join(groups, "gram")
+    wanted = live.groupBy("k1", "k2").agg(F.collect_list(F.struct(*AROUND, "many", "size", "first", "last")).alias("wanted"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, names = [_LONG, _LONG, _LONG, _INT, pa.bool_(), _LONG, pa.binary()], "gram a1 a2 distance many size data"
+        for batch in batches:
+            rows, held = [], 0
+            for x, wants in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = x.as_py()
+                for w in wants:
+                    rows.append((*(w[c] for c in AROUND), w["many"], w["size"], text[w["first"] : w["last"] + length]))
+                    held += len(rows[-1][-1])
+                    if held > 4_000_000:
+                        yield _columns(rows, kinds, names)
+                        rows, held = [], 0
+            yield _columns(rows, kinds, names)
+
+    one_each = texts.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
+    fetched = one_each.join(wanted, ["k1", "k2"]).select("raw", "wanted").mapInArrow(fetch, "gram bigint, a1 bigint, a2 bigint, distance int, many boolean, size bigint, data binary")
+    fetched = written(fetched, "bucket-bytes")
+    discard(around, groups)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rows, size, gram = [], [], 0, None
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done() -> pa.RecordBatch:
-            runs = bucket_repeats(rows, length)
-            flat = [(gram, k, d, a, b) for k, (d, _, _), spans in zip(keys, rows, runs, strict=True) for a, b in spans]
-            cols = list(zip(*flat, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gram", "around", "distance", "a", "b"])
+            out = []
+            for (*key, many), hit in zip(keys, block_repeats(rows, length), strict=True):
+                out += [(*key, a, b) for a, b in ([(0, len(hit) - 1)] if many else runs_of(hit))]
+            return _columns(out, [_LONG, _LONG, _LONG, _INT, _INT, _INT], "gram a1 a2 distance a b")
 
-        gram, keys, rows = None, [], []
         for batch in batches:
-            for g, k, d, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != gram and rows:
+            for *key, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key[0] != gram and size > BLOCK_BYTES:
                     yield done()
-                    keys, rows = [], []
-                gram = g
-                keys.append(k)
-                rows.append((d, data, n))
+                    keys, rows, size = [], [], 0
+                gram = key[0]
+                keys.append((*key, many))
+                rows.append(data)
+                size += len(data)
         if rows:
             yield done()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs_schema = "gram bigint, around binary, distance int, a bigint, b bigint"
-    usual = live.where(F.col("size") <= HOT).select("gram", "around", "distance", "n", "data")
-    runs = usual.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(rank, runs_schema)
+    usual = fetched.where(F.col("size") <= hot).select(*AROUND, "many", "data").repartition(parts, "gram").sortWithinPartitions("gram")
+    runs_schema = "gram bigint, a1 bigint, a2 bigint, distance int, a int, b int"
+    runs = written(usual.mapInArrow(sort, runs_schema), "repeats")
 
     def by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, k, d, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = rolling(np.frombuffer(data, np.uint8), length)
-                size = len(h)
-                yield pa.RecordBatch.from_pydict({
-                    "gram": pa.array([g] * size, pa.int64()), "around": pa.array([k] * size, pa.binary()), "distance": pa.array([d] * size, pa.int32()),
-                    "n": pa.array([n] * size, pa.int64()), "a": pa.array(range(size), pa.int64()), "string": pa.array(h.view(np.int64)),
-                })
-
-    hot = live.where(F.col("size") > HOT).select("gram", "around", "distance", "n", "data")
-    strings = hot.mapInArrow(by_string, "gram bigint, around binary, distance int, n bigint, a bigint, string bigint").withColumn("before", F.col("distance") - F.col("a"))
-    repeated = strings.groupBy("gram", "before", "string").agg(F.sum("n").alias("uses")).where("uses > 1")
-    runs = runs.unionByName(strings.join(repeated, ["gram", "before", "string"]).select("gram", "around", "distance", "a", F.col("a").alias("b")))
-    copies = docs.where(F.length(raw) >= length).select(raw.alias("raw")).mapInArrow(_keys_only, "text_key binary, n_bytes bigint")
-    copies = copies.groupBy("text_key").agg(F.count("*").alias("n"), F.first("n_bytes").alias("n_bytes")).where("n > 1")
-    spans = found.select("gram", "around", "distance", "text_key", "start").join(runs, ["gram", "around", "distance"])
-    spans = spans.select("text_key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + length).alias("b"))
-    spans = spans.unionByName(copies.select("text_key", F.lit(0).cast("bigint").alias("a"), F.col("n_bytes").alias("b")))
+            for g, a1, a2, d, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(data) - length + 1
+                found = [xxhash.xxh3_128_intdigest(data[k : k + length]) for k in range(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v] * n, k) for v, k in ((g, _LONG), (a1, _LONG), (a2, _LONG), (d, _INT), (2 if many else 1, _INT))]
+                    + [pa.array(range(n), _INT), pa.array([(f >> 64) - (1 << 63) for f in found], _LONG), pa.array([(f & (1 << 64) - 1) - (1 << 63) for f in found], _LONG)],
+                    names=[*AROUND, "uses", "a", "s1", "s2"],
+                )
+
+    hot_rows = fetched.where(F.col("size") > hot).select(*AROUND, "many", "data")
+    strings = written(hot_rows.mapInArrow(by_string, "gram bigint, a1 bigint, a2 bigint, distance int, uses int, a int, s1 bigint, s2 bigint"), "hot-strings")
+    common = written(strings.groupBy("s1", "s2").agg(F.sum("uses").alias("n")).where("n > 1").select("s1", "s2"), "hot-repeats")
+    runs = runs.unionByName(strings.join(common, ["s1", "s2"]).select(*AROUND, "a", F.col("a").alias("b")))
+    spans = suspects.join(runs, AROUND).select("k1", "k2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))
+    copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("b")).where("n > 1")
+    spans = spans.unionByName(copies.select("k1", "k2", F.lit(0).alias("a"), "b"))
+    out = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    discard(suspects, fetched, strings, common)
+    return out
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """``docs`` plus n_bytes, n_removed, n_spans (bigint), spans (array of [start, end) in bytes)
+    and kept (binary: the bytes that stay, which may cut a character). Added names that docs has
+    already get a trailing underscore."""
+    names = docs.columns
+    raw = F.col(text_col).cast("binary")
+    long = docs.where(F.length(raw) >= length)
+    found = repeated_spans(long.select(*_key(raw), raw.alias("raw")), length, hot)
     added: list[str] = []
     for c in ("n_bytes", "n_removed", "n_spans", "spans", "kept"):
         added.append(fresh([*names, *added], c))
     span_type = T.ArrayType(T.ArrayType(T.LongType()))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(added, [T.LongType()] * 3 + [span_type, T.BinaryType()], strict=True)]])
-    raw_col, key_col, span_col, join_col = (fresh([*names, *added], c) for c in ("raw_bytes", "text_key", "found_spans", "span_key"))
-    cuts = spans.groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias(span_col)).withColumnRenamed("text_key", join_col)
-
-    def out_batch(cols: list, texts: list[bytes], per_text: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-        kept = []
-        for t, spans_of in zip(texts, per_text, strict=True):
-            ends = [0, *[x for s in spans_of for x in s], len(t)]
-            kept.append(b"".join(t[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2)))
-        values = [
-            pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(b - a for a, b in s) for s in per_text], pa.int64()), pa.array([len(s) for s in per_text], pa.int64()),
-            pa.array([[list(x) for x in s] for s in per_text], pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays([*cols, *values], names=[*names, *added])
-
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(len(names))]
-            keep = [not any(True for _ in suspected(t)) for t in texts]
-            part = batch.filter(pa.array(keep, pa.bool_()))
-            yield out_batch(part.columns[: len(names)], [t for t, k in zip(texts, keep, strict=True) if k], [[] for k in keep if k])
-
-    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(len(names))]
-            keep = [any(True for _ in suspected(t)) for t in texts]
-            part = batch.filter(pa.array(keep, pa.bool_()))
-            keys = pa.array([_text_key(t) for t, k in zip(texts, keep, strict=True) if k], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], keys], names=[*names, key_col])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(len(names))]
-            found_spans = [_merged([(s["a"], s["b"]) for s in v or ()]) for v in batch.column(len(names) + 1).to_pylist()]
-            yield out_batch(batch.columns[: len(names)], texts, found_spans)
-
-    tagged = docs.withColumn(raw_col, raw)
-    keyed = tagged.mapInArrow(with_key, T.StructType([*docs.schema.fields, T.StructField(key_col, T.BinaryType())]))
-    joined = keyed.join(cuts, F.col(key_col) == F.col(join_col), "left").withColumn(raw_col, raw).select(*[F.col(f"`{c}`") for c in names], raw_col, span_col)
-    return tagged.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(cut, schema))
-
-
-def _keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x.as_py() for x in batch.column(0)]
-        yield pa.RecordBatch.from_pydict({"text_key": pa.array([_text_key(t) for t in texts], pa.binary()), "n_bytes": pa.array([len(t) for t in texts], pa.int64())})
+            counts: list[tuple[int, int, int]] = []
+            removed, kept = [], []
+            for x, value in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
+                t, spans = x.as_py() or b"", _merged([(s["a"], s["b"]) for s in value or ()])
+                ends = [0, *[y for s in spans for y in s], len(t)]
+                kept.append(b"".join(t[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2)))
+                removed.append([list(s) for s in spans])
+                counts.append((len(t), len(t) - len(kept[-1]), len(spans)))
+            cols = [pa.array([c[k] for c in counts], _LONG) for k in range(3)] + [pa.array(removed, pa.list_(pa.list_(_LONG))), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*names, *added])
+
+    own = [F.col(f"`{c}`") for c in names]
+    k1, k2, raw_col, span_col = (fresh([*names, *added], c) for c in ("text_k1", "text_k2", "raw_bytes", "found_spans"))
+    keyed = long.select(*own, *[k.alias(c) for k, c in zip(_key(raw), (k1, k2), strict=True)])
+    known = found.select(F.col("k1").alias("found_k1"), F.col("k2").alias("found_k2"), F.col("spans").alias(span_col))
+    joined = keyed.join(known, (keyed[k1] == known["found_k1"]) & (keyed[k2] == known["found_k2"]), "left").select(*own, raw.alias(raw_col), span_col)
+    short = docs.where(F.coalesce(F.length(raw) < length, F.lit(True))).select(*own, raw.alias(raw_col), F.lit(None).cast(found.schema["spans"].dataType).alias(span_col))
+    return joined.mapInArrow(cut, schema).unionByName(short.mapInArrow(cut, schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from canvass.llm import bloom, katz_lm, license_scan, line_dedup, quality_rules, repeated_spans
+from canvass.llm import bloom, katz_lm, license_scan, line_dedup, quality_rules, repeated_spans, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,13 +57,6 @@ def test_line_dedup(spark):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == brute_lines(list(enumerate(texts)))
 
 
-def test_line_dedup_survives_a_full_filter(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "contains", lambda bitmap, keys: np.ones(len(keys), bool))
-    texts = prose(2, 20)
-    got = line_dedup.digest(frame(spark, texts)).collect()
-    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in got} == brute_lines(list(enumerate(texts)))
-
-
 def test_line_dedup_columns_and_odd_rows(spark):
     line = "this line is held by many documents"
     schema = "doc_id bigint, n_lines string, text string, drop_keys int"
@@ -74,11 +67,33 @@ def test_line_dedup_columns_and_odd_rows(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_twice_seen_has_no_false_negatives(spark):
-    df = spark.range(0, 4000, 1, 8).select((F.col("id") % 3000).alias("k"))
-    bitmap = bloom.twice_seen(df, lambda b: b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 4000)
-    hit = bloom.contains(bitmap, np.arange(3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    assert hit[:1000].all() and hit[1000:].mean() < 0.05
+def filtered(spark, blocks, ranges):
+    rows = [r for n, keys in enumerate(blocks) for r in bloom.asks(n, keys, ranges)]
+    asked = spark.createDataFrame([(b, s, bytearray(d)) for b, s, d in rows], bloom.ASK).repartition(4)
+    out = bloom.repeated(asked, "test").collect()
+    return {(r.block, int(p)): int(k) for r in out for k, p in zip(np.frombuffer(r.keys, "<u8"), np.frombuffer(r.places, "<i8"), strict=True)}
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_filters_find_every_repeat_and_little_else(spark, ranges):
+    hashed = lambda x: np.asarray(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    blocks = [hashed(np.arange(0, 4000)), hashed(np.arange(3500, 7000)), hashed([9000, 9001, 9000])]
+    found = filtered(spark, blocks, ranges)
+    assert all(int(blocks[b][p]) == k for (b, p), k in found.items())
+    sure = {(0, k) for k in range(3500, 4000)} | {(1, k) for k in range(500)} | {(2, 0), (2, 2)}
+    assert sure <= set(found) and len(found) <= len(sure) + 200
+
+
+def test_filters_grow_with_the_keys(spark, monkeypatch):
+    """Many times more keys than one range is planned for: ranges multiply and still prune."""
+    monkeypatch.setattr(bloom, "RANGE_KEYS", 10_000)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 600_000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    again = rng.choice(keys, 500, replace=False)
+    ranges = bloom.ranges_for(600_500, 4)
+    assert ranges == 61
+    found = filtered(spark, [*np.array_split(keys, 6), again], ranges)
+    assert sum(b == 6 for b, _ in found) == 500 and len(found) < 1000 + 0.03 * len(keys)
 
 
 # quality --------------------------------------------------------------------
@@ -164,21 +179,45 @@ def span_texts():
     return texts + [make(rng.randrange(200)) + rng.choice(passages) + make(rng.randrange(200)) for _ in range(24)]
 
 
-@pytest.mark.parametrize(("length", "hot", "piece"), [(400, 20_000, 1 << 19), (400, 2, 1 << 19), (400, 20_000, 256), (50, 20_000, 1 << 19)])
-def test_repeated_spans(spark, monkeypatch, length, hot, piece):
-    monkeypatch.setattr(repeated_spans, "HOT", hot)
+@pytest.mark.parametrize(("length", "hot"), [(400, repeated_spans.HOT), (400, 2), (50, repeated_spans.HOT), (50, 3)])
+def test_repeated_spans(spark, length, hot):
     texts = span_texts()
-    if piece < 1 << 19:  # workers import the module anew, so test the pieces here
-        whole = [x for t in texts if t for h in repeated_spans.choices(t.encode(), length) for x in zip(*h, strict=True)]
-        monkeypatch.setattr(repeated_spans, "PIECE", piece)
-        cut = {(int(h), int(p), i) for t in texts if t for c in repeated_spans.choices(t.encode(), length) for h, p, a, b in zip(*c, strict=True) for i in range(a, b + 1)}
-        assert cut == {(int(h), int(p), i) for h, p, a, b in whole for i in range(a, b + 1)}
-        return
-    out = repeated_spans.remove_repeats(frame(spark, texts), length=length)
+    out = repeated_spans.remove_repeats(frame(spark, texts), length=length, hot=hot)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out.collect()}
     assert [got[d] for d in range(len(texts))] == brute_spans([(t or "").encode() for t in texts], length)
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    texts = span_texts()
+    whole = [x for t in texts if t for h in repeated_spans.choices(t.encode(), 400) for x in zip(*h, strict=True)]
+    monkeypatch.setattr(repeated_spans, "PIECE", 256)
+    cut = {(int(h), int(p), i) for t in texts if t for c in repeated_spans.choices(t.encode(), 400) for h, p, a, b in zip(*c, strict=True) for i in range(a, b + 1)}
+    assert cut == {(int(h), int(p), i) for h, p, a, b in whole for i in range(a, b + 1)}
+
+
+@pytest.mark.parametrize("v", [1, 2, 4, 8, 16, 64])
+def test_difference_cover(v):
+    chosen = suffixes.cover(v)
+    assert {(a - b) % v for a in chosen.tolist() for b in chosen.tolist()} == set(range(v))
+
+
+@pytest.mark.parametrize("length", [1, 3, 9, 17, 64, 100, 400])
+def test_suffix_blocks_equal_brute_force(length):
+    rng = random.Random(length)
+    unit = bytes(rng.choice(b"ab\0") for _ in range(length + 9))
+    shared = bytearray(unit * 2)
+    parts = [b"a" * (2 * length), bytes(shared), bytes(rng.randrange(256) for _ in range(3 * length)), unit, unit[: length // 2] + b"!" + unit[length // 2 + 1 :]]
+    # Many strings that tie at both ends and differ in the middle.
+    ends = bytes(rng.choice(b"xy") for _ in range(length))
+    for k in range(60):
+        parts.append(ends[: length // 2] + bytes([k % 25]) + ends[length // 2 + 1 :])
+    rng.shuffle(parts)
+    parts = [p for p in parts if len(p) >= length]
+    got = repeated_spans.block_repeats(parts, length)
+    seen = Counter(p[i : i + length] for p in parts for i in range(len(p) - length + 1))
+    assert [g.tolist() for g in got] == [[seen[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in parts]
+
+
 def test_repeated_spans_columns(spark):
     out = repeated_spans.remove_repeats(spark.createDataFrame([(None, "a" * 900, "x"), (None, None, None)], "doc_id bigint, text string, kept string"))
     assert out.columns == ["doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans", "spans", "kept_"]
