@@ -7,19 +7,24 @@ the window of every Voronoi region. Hence two levels:
 1. Families. Shingles are dealt by hash into m classes. Two sets that are similar enough differ in
    fewer than m shingles, so they agree on a whole class; equal classes link documents into
    families, without loss. m follows from the sizes; a set with too many empty classes is dealt
-   again with another seed, as a shared empty class says nothing.
-2. Regions. A family that fits one task is joined there. A larger one is cut by pivots: each member
-   goes to the region of its nearest pivot and, by the triangle inequality, also to each region
-   whose pivot is at most 2 epsilon further, so a link is found in at least one region. Members
-   within epsilon of a pivot are linked through it already, and so are pivots that share such a
-   member; a region is visited, and a member replicated, only where that leaves two groups apart.
-   Regions that are still large are cut again; after ROUNDS, block against block.
-
-Sets are of 64-bit shingle hashes. Equal sets are one class, known by a 128-bit hash.
+   again with another seed, as a shared empty class says nothing. Signatures of classes go through
+   a pair of Bloom filters, packed, and only those that may occur twice are looked at.
+2. Regions. All links come from here. Pivots cut a family: each member goes to the region of its
+   nearest pivot and, by the triangle inequality, also to each region whose pivot is at most
+   2 epsilon further, so a link is found in at least one region. Regions are cut again until
+   they are small. A family that fits one task is joined there; a larger one is cut by pivots in
+   rounds over the cluster. There, members within epsilon of a pivot are linked through it already,
+   and so are pivots that share such a member; a region is visited, and a member replicated, only
+   where that leaves two groups apart. Regions that are still large after ROUNDS are joined block
+   against block.
+
+Sets are of 64-bit shingle hashes. Equal sets are one class, known by a 128-bit hash and numbered;
+classes are what is linked, and ids come in only at the end.
 
 Defined cases: null or empty text has no shingles and links with nothing, not even with its like;
-a text of fewer words than the shingle is one shingle; rows with a null id link with nothing;
-an empty table gives an empty table.
+a text of fewer words than the shingle is one shingle; rows that repeat an id are documents of
+their own and may be in different groups; rows with a null id link with nothing; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,11 +36,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import asks, ranges_for, repeated
 from .components import Groups, components
-from .storage import written
+from .storage import discard, fresh, option, written
 
 #: A family or region of at most so many shingles and members is joined in one task.
 REGION_SHINGLES = 3_000_000
@@ -44,6 +51,10 @@ PIVOTS = 12
 ROUNDS = 4
 SEEDS = 6
 LOCAL_PIVOTS = 6
+#: Inside a task, a region of so many members is compared pair by pair.
+LEAF = 12
+#: A block of documents is closed beyond so many signatures.
+BLOCK_SIGNATURES = 500_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -130,12 +141,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def join_region(sets: list[np.ndarray], num: int, den: int, roots: list[int | None] | None = None) -> list[tuple[int, int]]:
-    """Links that span the groups of a region, exactly: a pair is compared unless it is known to
-    be in one group already, or sizes or pivots prove it too far apart. Members with the same
-    root are linked through it."""
-    n = len(sets)
+    """Links that span the groups of a family, exactly, by Voronoi regions within regions. Members
+    with the same root are linked through it. A pair is compared unless it is known to be in one
+    group already, or sizes, pivots or regions prove it too far apart."""
     sizes = np.array([len(s) for s in sets])
-    groups, links = Groups(n), []
+    groups, links = Groups(len(sets)), []
     first: dict[int, int] = {}
     for k, root in enumerate(roots or ()):
         if root is not None:
@@ -149,28 +159,44 @@ def join_region(sets: list[np.ndarray], num: int, den: int, roots: list[int | No
             links.append((x, y))
         return 1 - both / union
 
-    far = np.zeros((0, n))
-    if n > 4 * LOCAL_PIVOTS:
+    def by_pairs(members: np.ndarray, far: np.ndarray) -> None:
+        order = np.argsort(sizes[members], kind="stable")
+        ordered, far = members[order], far[:, order]
+        size = sizes[ordered]
+        for k, x in enumerate(ordered.tolist()):
+            end = int(np.searchsorted(size, size[k] * den // num, side="right"))
+            near = np.arange(k + 1, end)
+            if len(near) and len(far):
+                near = near[(np.abs(far[:, near] - far[:, [k]]) <= epsilon + 1e-9).all(0)]
+            for y in ordered[near].tolist():
+                if groups.find(x) != groups.find(y):
+                    compare(x, y)
+
+    def region(members: np.ndarray) -> None:
+        if len(members) <= LEAF:
+            by_pairs(members, np.zeros((0, len(members))))
+            return
         # Each pivot is the member farthest from the ones before it.
-        pivot, least = int(sizes.argmax()), np.full(n, np.inf)
+        at, least, far = int(sizes[members].argmax()), np.full(len(members), np.inf), []
         for _ in range(LOCAL_PIVOTS):
-            d = np.array([compare(pivot, y) if y != pivot else 0.0 for y in range(n)])
-            far = np.vstack([far, d])
-            least = np.minimum(least, d)
-            pivot = int(least.argmax())
-            if least[pivot] <= epsilon:
+            p = int(members[at])
+            far.append(np.array([compare(p, y) if y != p else 0.0 for y in members.tolist()]))
+            least = np.minimum(least, far[-1])
+            at = int(least.argmax())
+            if least[at] <= epsilon:
                 break
-    order = np.argsort(sizes, kind="stable")
-    ordered = sizes[order]
-    for k in range(n):
-        x = int(order[k])
-        end = int(np.searchsorted(ordered, ordered[k] * den // num, side="right"))
-        near = order[k + 1 : end]
-        if len(near) and len(far):
-            near = near[(np.abs(far[:, near] - far[:, [x]]) <= epsilon + 1e-9).all(0)]
-        for y in near.tolist():
-            if groups.find(x) != groups.find(y):
-                compare(x, y)
+        far = np.array(far)
+        if len({groups.find(x) for x in members.tolist()}) == 1:
+            return
+        home = far.min(0)
+        windows = [np.flatnonzero(d <= home + 2 * epsilon + 1e-9) for d in far]
+        if sum(map(len, windows)) > 2 * len(members) or max(map(len, windows)) > 0.9 * len(members):  # regions that overlap so much prune less than the pivots' distances
+            by_pairs(members, far)
+            return
+        for inside in windows:
+            region(members[inside])
+
+    region(np.arange(len(sets)))
     return links
 
 
@@ -302,7 +328,11 @@ def _large() -> Column:
 def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) spanning the groups of each family, for rows (region, doc, shingles)."""
     # Rows of one region must meet whatever Spark infers about unions.
-    members.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    with option(members.sparkSession, "spark.sql.unionOutputPartitioning", "false"):
+        return written(_family_links(members, num, den), "family-links")
+
+
+def _family_links(members: DataFrame, num: int, den: int) -> DataFrame:
     links, members = None, members.withColumn("root", F.lit(None).cast("bigint"))
     for turn in range(ROUNDS + 1):
         sizes = written(_sizes(members), "region-sizes")
@@ -321,56 +351,94 @@ def family_links(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; links are Jaccard >= num/den."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
+    # A plan for the filters: a word has about six bytes and gives (den - num) / num signatures for each of two bands.
+    expected = int((rows.select(F.sum(F.length("raw"))).first()[0] or 0) / 6 * 2.5 * (den - num) / num)
+    ranges = ranges_for(expected, parts)
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    names = ["block", "span", "data", "doc_id", "n_shingles", "key"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document (span -1); for each block, what it asks of the filters and its classes (span -2)."""
+        bands = Bands(num, den)
+        part, number = TaskContext.get().partitionId(), 0
+        met: dict[bytes, int] = {}
+        sigs: list[np.ndarray] = []
+        total = 0
+
+        def closed() -> pa.RecordBatch:
+            block = (part << 32) + number
+            asked = asks(block, np.concatenate(sigs), ranges)
+            # Classes of the block in order with the number of their signatures, to find a signature's class by its place.
+            table = b"".join(met) + np.array([len(x) for x in sigs], "<i8").tobytes()
+            asked.append((block, -2, table))
+            cols = [*zip(*asked, strict=True)]
+            blank = [None] * len(asked)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*cols, blank, blank, blank], kinds, strict=True)], names=names)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys = [], []
-            for raw in batch.column(1):
+            docs_of, n, keys = batch.column(0).to_pylist(), [], []
+            for doc, raw in zip(docs_of, batch.column(1), strict=True):
                 s = shingle_set(raw.as_py(), words)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "key"])
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, met = Bands(num, den), set()
+                if len(s) and doc is not None and keys[-1] not in met:
+                    met[keys[-1]] = len(met)
+                    sigs.append(bands.signatures(s))
+                    total += len(sigs[-1])
+                    if total > BLOCK_SIGNATURES:
+                        yield closed()
+                        met, sigs, total, number = {}, [], 0, number + 1
+            size = len(n)
+            blank = [None] * size
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([blank, [-1] * size, blank, docs_of, n, keys], kinds, strict=True)], names=names)
+        if sigs:
+            yield closed()
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, cids, ends = None, None, None
         for batch in batches:
-            sigs, keys = [], []
-            size = 0
-            for raw in batch.column(1):
-                s = shingle_set(raw.as_py(), words)
-                if not len(s):
-                    continue
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                if key in met:
+            for b, span, data, keys in zip(*(batch.column(c).to_pylist() for c in ("block", "span", "data", "keys")), strict=True):
+                if span == -2:
+                    n = len(data) // 24
+                    block, cids, ends = b, np.frombuffer(data, ">u8", 2 * n)[::2].astype(np.uint64), np.cumsum(np.frombuffer(data, "<i8", n, 16 * n))
                     continue
-                met.add(key)
-                sigs.append(bands.signatures(s))
-                keys.append(np.full(len(sigs[-1]), int.from_bytes(key[:8], "big") - (1 << 63), np.int64))
-                size += len(sigs[-1])
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "cid"])
-                    sigs, keys, size = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "cid"])
+                assert b == block
+                of = np.searchsorted(ends, np.frombuffer(data, "<i8"), side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array((cids[of] ^ np.uint64(1 << 63)).view(np.int64))], names=["sig", "cid"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [shingle_set(raw.as_py(), words).tobytes() for raw in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["region", "doc", "shingles"])
-
-    known = rows.where("doc_id is not null")
-    summary = written(rows.mapInArrow(summed, "doc_id bigint, n_shingles bigint, key binary"), "shingle-sets")
-    reps = written(summary.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "set-classes")
-    neighbours = known.mapInArrow(signed, "sig bigint, cid bigint").select("sig", "cid", F.lag("cid").over(Window.partitionBy("sig").orderBy("cid")).alias("before"))
-    families = components(neighbours.where("before <> cid").select("before", "cid").distinct(), "before", "cid")
-    chosen = written(reps.withColumn("node", _cid("key")).join(families, "node").select(F.col("component").alias("region"), F.col("rep").alias("doc")), "family-members")
-    # A merge join at any size: the cost then follows the input, and nothing is broadcast.
-    members = written(known.hint("merge").join(chosen.hint("merge"), known.doc_id == chosen.doc).select("region", "doc", "raw").dropDuplicates(["region", "doc"]).mapInArrow(with_sets, "region bigint, doc bigint, shingles binary"), "family-sets")
+            data = [shingle_set(raw.as_py(), words).tobytes() for raw in batch.column("raw")]
+            own = pa.array([xxhash.xxh3_128_digest(d) == k for d, k in zip(data, batch.column("key").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc"), pa.array(data, pa.binary())], names=["region", "doc", "shingles"]).filter(own)
+
+    gathered = written(rows.mapInArrow(gather, "block bigint, span int, data binary, doc_id bigint, n_shingles bigint, key binary"), "shingle-blocks")
+    summary = gathered.where("span = -1").select("doc_id", "n_shingles", "key")
+    again = repeated(gathered.where("span >= 0"), "signature-repeats")
+    none = F.lit(None).cast("binary")
+    tables = gathered.where("span = -2").select("block", "span", "data", none.alias("keys")).unionAll(again.select("block", F.lit(0).alias("span"), F.col("places").alias("data"), "keys"))
+    neighbours = written(tables.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(suspects, "sig bigint, cid bigint"), "signature-suspects")
+    discard(again)
+    least = written(neighbours.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select("sig", "least"), "signatures")
+    families = components(neighbours.join(least, "sig").where("cid <> least").select("least", "cid").distinct(), "least", "cid")
+    discard(neighbours, least)
+    classes = summary.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = written(classes.withColumn("doc", F.monotonically_increasing_id()), "set-classes")
+    chosen = written(classes.withColumn("node", _cid("key")).join(families, "node").select(F.col("component").alias("region"), "doc", "key", "rep"), "family-members")
+    # A merge join at any size: the cost then follows the input, and nothing is broadcast. Rows that repeat an id with other texts drop out by key.
+    own = rows.hint("merge").join(chosen.hint("merge"), rows.doc_id == chosen.rep).select("region", "doc", "key", "raw").mapInArrow(with_sets, "region bigint, doc bigint, shingles binary")
+    members = written(own.dropDuplicates(["doc"]), "family-sets")
     roots = components(family_links(members, num, den), "a", "b")
-    labelled = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("root"))
-    sets = summary.join(labelled, "key", "left")
-    return sets.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("root", "doc_id")).alias("component_id"))
+    linked = written(roots.join(classes.select(F.col("doc").alias("node"), "key", "rep"), "node"), "linked-classes")
+    least_id = written(linked.groupBy("component").agg(F.min("rep").alias("least_id")), "groups")
+    labelled = classes.join(linked.join(least_id, "component").select("key", "least_id"), "key", "left").select("key", F.coalesce("least_id", "rep").alias("least_id"))
+    # Written, so that the join shuffles both of its sides and a text of very many copies can be split; rows without a class don't meet in it.
+    classed = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    out = summary.where(classed).join(written(labelled, "class-groups"), "key", "left").select("doc_id", "n_shingles", F.coalesce("least_id", "doc_id").alias("component_id"))
+    return out.unionAll(summary.where(~classed).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _cid(key: str) -> Column:
@@ -381,7 +449,5 @@ def _cid(key: str) -> Column:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with the row of least id of each group; texts without words and null ids stay."""
-    from .storage import fresh
-
     groups = similar_groups(docs, id_col, text_col, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs.columns, "dropped"))).distinct()
     return docs.hint("merge").join(groups.hint("merge"), F.col(id_col) == groups[groups.columns[0]], "left_anti")

@@ -107,3 +107,10 @@ def test_signatures_meet_for_every_similar_pair():
             both = ngram_join._common(a, b)
             if both * den >= (len(a) + len(b) - both) * num and both < len(a) + len(b) - both:
                 assert set(bands.signatures(a).tolist()) & set(bands.signatures(b).tolist())
+
+
+def test_rows_that_repeat_an_id_lose_no_link(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "alone in all the world")]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
