@@ -131,6 +131,16 @@ def test_embedding_near_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_odd_rows(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (1, [0.0, 1.0], 2), (None, [1.0, 0.0], 1), (3, [1e200, 1e200], 3), (4, [1.0, 1.0], 3), (5, [1e-200, 1e-200], 3), (6, [-0.0, 2.0], 2), (7, [1.0], 3), (8, [0.5], 3)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, label int, kept string")
+    got = sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    # The row of label 2 that repeats id 1 links with 6 alone, the one of label 1 with 2 alone.
+    assert got == [(False, 1, 1, 1, True), (False, 1, 1, 1, True), (False, 2, 1, 1, False), (False, 3, 2, 3, True), (False, 4, 2, 3, False), (False, 5, 2, 3, False), (False, 6, 1, 1, False), (False, 7, 1, 7, True), (False, 8, 1, 7, False), (True, 0, 0, None, True)]
+    alone = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (1, [0.0, 1.0], 2)], "vec_id bigint, embedding array<double>, label int")
+    assert sorted(r.n_links for r in embedding_dedup.near_duplicates(alone).collect()) == [0, 1, 1]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7)]
