@@ -208,8 +208,9 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             out = []
             for (*key, many), hit in zip(keys, block_repeats(rows, length), strict=True):
-                out += [(*key, a, b) for a, b in ([(0, len(hit) - 1)] if many else runs_of(hit))]
-            return _columns(out, [_LONG, _LONG, _LONG, _INT, _INT, _INT], "gram a1 a2 distance a b")
+                if runs := [(0, len(hit) - 1)] if many else runs_of(hit):
+                    out.append((*key, [{"a": a, "b": b} for a, b in runs]))
+            return _columns(out, [_LONG, _LONG, _LONG, _INT, pa.list_(pa.struct([("a", _INT), ("b", _INT)]))], "gram a1 a2 distance runs")
 
         for batch in batches:
             for *key, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -224,8 +225,8 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
             yield done()
 
     usual = fetched.where(F.col("size") <= hot).select(*AROUND, "many", "data").repartition(parts, "gram").sortWithinPartitions("gram")
-    runs_schema = "gram bigint, a1 bigint, a2 bigint, distance int, a int, b int"
-    runs = written(usual.mapInArrow(sort, runs_schema), "repeats")
+    runs_schema = "gram bigint, a1 bigint, a2 bigint, distance int, runs array<struct<a:int,b:int>>"
+    runs = usual.mapInArrow(sort, runs_schema)
 
     def by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,12 +242,15 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
     hot_rows = fetched.where(F.col("size") > hot).select(*AROUND, "many", "data")
     strings = written(hot_rows.mapInArrow(by_string, "gram bigint, a1 bigint, a2 bigint, distance int, uses int, a int, s1 bigint, s2 bigint"), "hot-strings")
     common = written(strings.groupBy("s1", "s2").agg(F.sum("uses").alias("n")).where("n > 1").select("s1", "s2"), "hot-repeats")
-    runs = runs.unionByName(strings.join(common, ["s1", "s2"]).select(*AROUND, "a", F.col("a").alias("b")))
-    spans = suspects.join(runs, AROUND).select("k1", "k2", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + length).alias("b"))
+    found = strings.join(common, ["s1", "s2"]).groupBy(*AROUND).agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("runs"))
+    # A row for each surrounding, written, so that the join can split those that many texts share.
+    runs = written(runs.unionByName(found), "runs")
+    placed = F.transform("runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] + length).alias("b")))
+    spans = suspects.join(runs, AROUND).select("k1", "k2", placed.alias("spans"))
     copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.length("raw")).alias("b")).where("n > 1")
-    spans = spans.unionByName(copies.select("k1", "k2", F.lit(0).alias("a"), "b"))
-    out = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    discard(suspects, fetched, strings, common)
+    spans = spans.unionByName(copies.select("k1", "k2", F.array(F.struct(F.lit(0).alias("a"), "b")).alias("spans")))
+    out = written(spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
+    discard(suspects, fetched, strings, common, runs)
     return out
 
 
