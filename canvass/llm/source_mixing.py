@@ -1,27 +1,29 @@
 """Mixing to target weights by soft membership. DataFrame functions only.
 
-Domains are ``clean``, ``low`` (quality 0) and ``toxic``. A labelled table trains a classifier: on
-one half of the labelled sample, the words that mark the domains low and toxic; on the other half,
-the share of each domain among documents by how many such words they hold (calibrated posteriors).
+Domains are ``clean``, ``low`` (quality 0) and ``toxic``. A labelled table trains a classifier: the
+words and marks of style that tell the domains low and toxic apart in a labelled sample are its
+markers, and a multinomial logistic regression on them gives each document its posteriors.
 A document counts towards each domain by its posterior times its words.
 
 Nonnegative rates for the documents are then fitted by projected gradient steps on the squared
 difference between the domains' expected word totals and their targets. The steps are taken in the
-metric in which long and short documents move alike, with the inverse of the domains' Gram matrix
-as step size. A step needs the domains' totals only, one small aggregate; rates are a nested
-expression of the posteriors, so no state is written between steps.
+metric in which long and short documents move alike, and differences are measured in the inverse of
+the domains' Gram matrix, so that a small domain weighs as much as a large one. Documents of equal posteriors share a row of
+totals; a step is one small aggregate over these. Rates are a nested expression of the posteriors,
+so no state is written between steps.
 
 The targets are WEIGHTS of the largest budget, up to all words, that asks no domain for more than
 MAX_EPOCHS of its words. Only where a domain is so scarce that clean words would have to go for
 it, it takes what MAX_EPOCHS allows and the others keep their weights among themselves. Where the
-classifier can't tell domains apart, nonnegative rates can leave a share short of its target. Both
-are logged as warnings, with figures.
+classifier can't tell domains apart, nonnegative rates can leave a share short of its target. The
+report (``Plan.report``) has targets, goals and what is reached; both cases are logged as warnings
+with these figures, and ``strict`` turns the second into an error.
 
 The labelled sample is bounded by MAX_LABELLED rows (least hash of the id), the word list by
-MARKERS words a domain; word totals and the fit cover all documents.
+MARKERS a domain; word totals and the fit cover all documents.
 
-Defined cases: null or empty text has no words and takes the posterior of documents without
-marked words; without labels every document is clean; labels with a null quality count as
+Defined cases: null or empty text has no words and takes the posterior of a text without
+words; without labels every document is clean; labels with a null quality count as
 quality 1, a null toxic as 0; rows that repeat an id are documents of their own; an empty table
 gives an empty table.
 """
@@ -43,28 +45,71 @@ WEIGHTS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 MAX_EPOCHS = 1.05
 MAX_LABELLED = 20_000
 MARKERS = 400
-LEVELS = 4
-STEPS = 25
+#: Posteriors are multiples of 1 / GRID, so the fit runs over a table of bounded size.
+GRID = 100
+STEPS = 40
+#: Shares further than this from their goals are not met.
+TOLERANCE = 0.02
 LOG = logging.getLogger(__name__)
 
 
+def _tokens(text: Column, words: Column) -> Column:
+    """What a text is classified by."""
+    return F.concat(words, _style(F.coalesce(text, F.lit("")), words))
+
+
 def _words(text_col: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 class Classifier:
-    """Word lists and the posterior of each cell (low words, toxic words), each 0..LEVELS-1."""
-
-    def __init__(self, markers: dict[str, list[str]], table: np.ndarray) -> None:
-        self.markers, self.table = markers, table
-
-    def cell(self, words: Column) -> Column:
-        level = lambda d: F.least(F.size(F.array_intersect(words, F.lit(self.markers[d]) if self.markers[d] else F.array().cast("array<string>"))), F.lit(LEVELS - 1))
-        return level("low") * LEVELS + level("toxic")
-
-    def posterior(self, cell: Column, domain: str) -> Column:
-        k = DOMAINS.index(domain)
-        return F.get(F.lit([float(x) for x in self.table[:, k]]), cell)
+    """Multinomial logistic regression on which of a bounded list of markers a text has."""
+
+    def __init__(self, markers: list[str], weights: np.ndarray, bias: np.ndarray) -> None:
+        self.markers, self.weights, self.bias = markers, weights, bias
+
+    def posteriors(self, marks: Column) -> Column:
+        """Array of a domain's posterior each, in steps of 1 / GRID, from the places (from 1) of a text's markers."""
+        if not self.markers:
+            p = np.exp(self.bias - self.bias.max())
+            return F.array(*[F.lit(float(x)) for x in np.round(p / p.sum() * GRID) / GRID])
+        tables = [F.lit([float(x) for x in column]) for column in self.weights.T]
+        total = lambda k: F.aggregate(marks, F.lit(float(self.bias[k])), lambda s, at: s + F.element_at(tables[k], at.cast("int")))
+        scores = F.array(*[total(k) for k in range(len(DOMAINS))])
+        powers = F.transform(scores, lambda x: F.exp(F.greatest(x, F.lit(-60.0))))
+        sums = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+        return F.transform(powers, lambda x: F.round(x / sums * GRID) / GRID)
+
+    def marks(self, tokens: Column) -> Column:
+        """The places of a text's markers."""
+        if not self.markers:
+            return F.array().cast("array<bigint>")
+        known = F.lit(self.markers)
+        return F.transform(F.array_intersect(tokens, known), lambda w: F.array_position(known, w))
+
+
+def _style(text: Column, words: Column) -> Column:
+    """Tokens for a text's length, symbols and repetition; no word has their first character."""
+    n = F.greatest(F.size(words), F.lit(1))
+    symbols = (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))) / n
+    distinct = F.size(F.array_distinct(words)) / F.pow(n, F.lit(0.8))
+    graded = lambda name, x, steps: F.concat(F.lit(f"\n{name}"), sum((F.when(x >= k, 1).otherwise(0) for k in steps), F.lit(0)).cast("string"))
+    return F.array(graded("length", n, (20, 50)), graded("symbols", symbols, (0.01, 0.05, 0.2, 0.6)), graded("variety", distinct, (0.3, 0.6, 1.0, 1.4)))
+
+
+def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by accelerated gradient steps on the bounded labelled sample."""
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    size = max(1.0, float((x.astype(np.float64) ** 2).sum(axis=1).mean()) * len(x) / 2 + ridge)
+    w = ahead = np.zeros((x.shape[1], y.shape[1]))
+    keep = np.append(np.full(x.shape[1] - 1, ridge), 1e-3)[:, None]
+    for step in range(steps):
+        score = x @ ahead
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        before, w = w, ahead - (x.T @ (p - y) + keep * ahead) / size
+        ahead = w + step / (step + 3) * (w - before)
+    return w[:-1], w[-1]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Classifier:
@@ -73,32 +118,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Cla
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(domain.alias("domain")), F.struct(quality, toxic)).alias("d")).select("doc_id", "d.domain")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     sample = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = written(sample.select("domain", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"), F.array_distinct(_words("text")).alias("words")), "labelled")
-    totals = {(r.half, r.domain): r["count"] for r in sample.groupBy("half", "domain").count().collect()}
-    counts = sample.where("half = 0").select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
-    n = {d: totals.get((0, d), 0) for d in DOMAINS}
-    markers: dict[str, list[str]] = {}
+    sample = written(sample.select("domain", F.array_distinct(_tokens(F.col("text"), _words("text"))).alias("tokens")), "labelled")
+    n = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
+    rest = {d: sum(n.values()) - n.get(d, 0) for d in DOMAINS}
+    if not n:
+        return Classifier([], np.zeros((0, len(DOMAINS))), np.array([0.0, -60.0, -60.0]))
+    counts = sample.select("domain", F.explode("tokens").alias("token")).groupBy("token").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
+    markers: set[str] = set()
     for d in DOMAINS[1:]:
-        rest = sum(n.values()) - n[d]
-        if not n[d] or not rest:
-            markers[d] = []
+        if not n.get(d) or not rest[d]:
             continue
         other = sum((F.col(x) for x in DOMAINS if x != d), F.lit(0))
-        share = (F.col(d) + other) / (n[d] + rest)
-        score = (F.col(d) / n[d] - other / rest) / F.sqrt(share * (1 - share) * (1 / n[d] + 1 / rest) + 1e-12)
-        ranked = counts.where((F.col(d) >= 3) & (F.col(d) / n[d] > 4 * other / rest)).select("word", score.alias("z")).where("z > 5")
-        markers[d] = [r.word for r in ranked.orderBy(F.desc("z"), "word").limit(MARKERS).collect()]
-    model = Classifier(markers, np.zeros((LEVELS * LEVELS, len(DOMAINS))))
-    cells = sample.where("half = 1").groupBy(model.cell(F.col("words")).alias("cell"), "domain").count().collect()
-    table = np.zeros((LEVELS * LEVELS, len(DOMAINS)))
-    for r in cells:
-        table[r.cell, DOMAINS.index(r.domain)] = r["count"]
-    # Unseen cells lean to the domain whose words they hold.
-    for low in range(LEVELS):
-        for bad in range(LEVELS):
-            prior = np.array([1.0, 0.0, 0.0]) if low == bad == 0 else np.array([0.5, low, bad]) / (0.5 + low + bad)
-            table[low * LEVELS + bad] += prior
-    model.table = table / table.sum(axis=1, keepdims=True)
+        share = (F.col(d) + other) / (n[d] + rest[d])
+        score = (F.col(d) / n[d] - other / rest[d]) / F.sqrt(share * (1 - share) * (1 / n[d] + 1 / rest[d]) + 1e-12)
+        ranked = counts.where(F.col(d) + other >= 3).select("token", F.abs(score).alias("z")).where("z > 4")
+        markers |= {r.token for r in ranked.orderBy(F.desc("z"), "token").limit(MARKERS).collect()}
+    model = Classifier(sorted(markers), np.zeros((len(markers), len(DOMAINS))), np.zeros(len(DOMAINS)))
+    rows = sample.select("domain", model.marks(F.col("tokens")).alias("marks")).collect()  # MAX_LABELLED rows of at most 2 MARKERS places
+    x, y = np.zeros((len(rows), len(markers)), np.float32), np.zeros((len(rows), len(DOMAINS)), np.float32)
+    for k, r in enumerate(rows):
+        x[k, [m - 1 for m in r.marks]] = 1
+        y[k, DOMAINS.index(r.domain)] = 1
+    model.weights, model.bias = _fit_logistic(x, y)
+    model.bias[[k for k, d in enumerate(DOMAINS) if not n.get(d)]] = -60.0
     return model
 
 
@@ -112,35 +154,42 @@ def goals(have: np.ndarray, share: np.ndarray, max_epochs: float) -> np.ndarray:
     return np.minimum(share * budget, max_epochs * have)
 
 
-def _tell(report: dict, share: np.ndarray) -> None:
-    """Logs the domains' shares, as a warning where the targets are not met."""
-    shares = [share, *(np.array(report[k]) / max(1e-9, sum(report[k])) for k in ("have", "goal", "reached"))]
-    met = np.abs(shares[3] - shares[0]).max() <= 0.001 or not sum(report["have"])
-    text = "; ".join(f"{d}: target {w:.4f}, present {h:.4f}, goal {g:.4f}, reached {r:.4f}" for d, w, h, g, r in zip(DOMAINS, *shares, strict=True))
-    LOG.log(logging.INFO if met else logging.WARNING, "mixing shares %s (%s)", "met" if met else "not met", text)
-
-
 def fit(totals: DataFrame, weights: dict[str, float], max_epochs: float) -> tuple[list[np.ndarray], dict]:
     """Step vectors, and a report, for rows (p_<domain>, words)."""
     k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
-    sums = totals.agg(*[F.coalesce(F.sum(F.col("words") * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(F.col("words") * p[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    have, gram = np.array(sums[:k], float), np.array(sums[k:], float).reshape(k, k)
-    total = have.sum()
-    share = np.array([weights[d] for d in DOMAINS])
-    goal = goals(have, share, max_epochs)
-    inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(1.0, total))
+
+    def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' expected words, and their Gram matrix over documents that have a rate yet."""
+        r = rate(steps, p)
+        live = F.when(r > 0, F.col("words")).otherwise(F.lit(0.0))
+        sums = [F.sum(F.col("words") * x * r) for x in p] + [F.sum(live * p[i] * p[j]) for i in range(k) for j in range(k)]
+        got = np.array([float(v or 0.0) for v in totals.agg(*sums).first()])
+        return got[:k], got[k:].reshape(k, k)
+
     steps: list[np.ndarray] = []
-    now = have
-    for _ in range(STEPS):
-        if np.abs(now - goal).max() <= 1e-6 * max(1.0, total):
-            break
-        steps.append(inverse @ (now - goal))
-        r, before = rate(steps, p), now
-        now = np.array(totals.agg(*[F.coalesce(F.sum(F.col("words") * x * r), F.lit(0.0)) for x in p]).first(), float)
-        if np.abs(now - before).max() <= 1e-4 * max(1.0, total):
+    have, whole = state(steps)
+    total, share = have.sum(), np.array([weights[d] for d in DOMAINS])
+    goal = goals(have, share, max_epochs)
+    now, gram = have, whole
+    inverse = lambda m: np.linalg.pinv(m + np.eye(k) * 1e-9 * max(1.0, total))
+    fixed = inverse(whole)
+    miss = lambda v: float((v - goal) @ fixed @ (v - goal))
+    while len(steps) < STEPS and np.abs(now - goal).max() > 1e-6 * max(1.0, total):
+        # The step over documents whose rates are above 0 is the longer one; the step over all can't overshoot.
+        tried = []
+        for metric in (inverse(gram), fixed):
+            step = metric @ (now - goal)
+            tried.append((miss(state([*steps, step])[0]), step))
+            if tried[-1][0] < 0.5 * miss(now):
+                break
+        least, step = min(tried, key=lambda t: t[0])
+        if least > miss(now) * (1 - 1e-4):
             break  # as near as nonnegative rates come
-    return steps, {"have": have.tolist(), "goal": goal.tolist(), "reached": now.tolist(), "steps": len(steps)}
+        steps.append(step)
+        now, gram = state(steps)
+    shares = lambda v: dict(zip(DOMAINS, (v / max(1e-9, v.sum())).tolist(), strict=True))
+    return steps, {"target": dict(weights), "present": shares(have), "goal": shares(goal), "reached": shares(now), "words": float(total), "goal_words": float(goal.sum()), "reached_words": float(now.sum()), "steps": len(steps)}
 
 
 def rate(steps: list[np.ndarray], p: list[Column]) -> Column:
@@ -150,34 +199,54 @@ def rate(steps: list[np.ndarray], p: list[Column]) -> Column:
     return r
 
 
-def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """``docs`` plus n_mix_words (bigint), p_clean, p_low, p_toxic, rate (double) and copies (bigint):
-    the rate rounded up or down by a hash of the id, so that its expectation is the rate.
+class Plan:
+    """A trained classifier and fitted rates. ``report`` has the shares of the domains among all
+    words: target, present, goal (the target, but for domains too scarce for it) and reached."""
 
-    Added names that docs has already get a trailing underscore.
-    """
-    weights = WEIGHTS if weights is None else weights
-    model = train(docs, labels, id_col, text_col)
-    split, words, cell = (fresh(docs.columns, c) for c in ("mix_split", "mix_words", "mix_cell"))
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, weights: dict[str, float], max_epochs: float) -> None:
+        self.id_col, self.text_col = id_col, text_col
+        self.model = train(docs, labels, id_col, text_col)
+        words, posterior = "mix_words", "mix_posterior"
+        tally = self._features(docs.select(text_col), words, posterior).groupBy(posterior).agg(F.sum(words).alias("words"))
+        totals = written(tally.select(F.col("words").cast("double"), *[F.col(posterior)[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]), "mix-totals")
+        self.steps, self.report = fit(totals, weights, max_epochs)
+        gap = lambda a, b: max(abs(self.report[a][d] - self.report[b][d]) for d in DOMAINS)
+        empty = not self.report["words"]
+        self.met = empty or gap("goal", "reached") <= TOLERANCE
+        LOG.log(logging.INFO if empty or gap("target", "reached") <= TOLERANCE else logging.WARNING, "mixing shares: %s", self.report)
 
-    def features(frame: DataFrame) -> DataFrame:
+    def _features(self, frame: DataFrame, words: str, posterior: str) -> DataFrame:
         # explode() of one element keeps the optimizer from splitting the text for each use of its words.
+        split, marks = (fresh([*frame.columns, words, posterior], c) for c in ("mix_split", "mix_marks"))
         own = [F.col(f"`{c}`") for c in frame.columns]
-        apart = frame.select(*own, F.explode(F.array(_words(text_col))).alias(split))
-        return apart.select(*own, F.inline(F.array(F.struct(F.size(split).cast("bigint").alias(words), model.cell(F.col(split)).alias(cell)))))
-
-    tally = features(docs.select(text_col)).groupBy(F.col(cell).alias("cell")).agg(F.sum(words).alias("words"))
-    totals = written(tally.select("words", *[model.posterior(F.col("cell"), d).alias(f"p_{d}") for d in DOMAINS]), "mix-totals")
-    steps, report = fit(totals, weights, max_epochs)
-    _tell(report, np.array([weights[d] for d in DOMAINS]))
-    posterior = [model.posterior(F.col(cell), d) for d in DOMAINS]
-    added: list[str] = []
-    for c in ("n_mix_words", *[f"p_{d}" for d in DOMAINS], "rate", "copies"):
-        added.append(fresh([*docs.columns, words, cell, *added], c))
-    out = features(docs).withColumns({added[0]: F.col(words)} | dict(zip(added[1:4], posterior, strict=True)))
-    out = out.withColumn(added[4], rate(steps, [F.col(c) for c in added[1:4]]))
-    turn = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1_000_000)) / 1_000_000
-    return out.withColumn(added[5], F.floor(F.col(added[4]) + turn).cast("bigint")).drop(words, cell)
+        text = F.coalesce(F.col(f"`{self.text_col}`").cast("string"), F.lit(""))
+        apart = frame.select(*own, text.alias(fresh(frame.columns, "mix_text")), F.explode(F.array(_words(self.text_col))).alias(split))
+        apart = apart.select(*own, F.size(split).cast("bigint").alias(words), F.explode(F.array(self.model.marks(_tokens(F.col(fresh(frame.columns, "mix_text")), F.col(split))))).alias(marks))
+        return apart.select(*own, words, F.explode(F.array(self.model.posteriors(F.col(marks)))).alias(posterior))
+
+    def apply(self, docs: DataFrame) -> DataFrame:
+        words, posterior = (fresh(docs.columns, c) for c in ("mix_words", "mix_posterior"))
+        added: list[str] = []
+        for c in ("n_mix_words", *[f"p_{d}" for d in DOMAINS], "rate", "copies"):
+            added.append(fresh([*docs.columns, words, posterior, *added], c))
+        out = self._features(docs, words, posterior)
+        out = out.withColumns({added[0]: F.col(words)} | {c: F.col(posterior)[k] for k, c in enumerate(added[1:4])})
+        out = out.withColumn(added[4], rate(self.steps, [F.col(c) for c in added[1:4]]))
+        turn = F.pmod(F.xxhash64(F.col(self.id_col), F.lit("copies")), F.lit(1_000_000)) / 1_000_000
+        return out.withColumn(added[5], F.floor(F.col(added[4]) + turn).cast("bigint")).drop(words, posterior)
+
+
+def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, max_epochs: float = MAX_EPOCHS, strict: bool = False) -> DataFrame:
+    """``docs`` plus n_mix_words (bigint), p_clean, p_low, p_toxic, rate (double) and copies (bigint):
+    the rate rounded up or down by a hash of the id, so that its expectation is the rate.
+
+    With ``strict``, shares that miss their goals by more than TOLERANCE are a ValueError; else a
+    warning is logged. Added names that docs has already get a trailing underscore.
+    """
+    plan = Plan(docs, labels, id_col, text_col, WEIGHTS if weights is None else weights, max_epochs)
+    if strict and not plan.met:
+        raise ValueError(f"the target weights can't be reached: {plan.report}")
+    return plan.apply(docs)
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
