@@ -48,6 +48,8 @@ from .storage import discard, fresh, option, written
 REGION_SHINGLES = 3_000_000
 REGION_MEMBERS = 3000
 PIVOTS = 12
+#: Members of a region that are measured against its pivots in one task.
+CHUNK_MEMBERS, CHUNK_SHINGLES = 1000, 1_000_000
 ROUNDS = 4
 SEEDS = 6
 LOCAL_PIVOTS = 6
@@ -258,6 +260,33 @@ def _distances(data: bytes, pivots: list[dict], num: int, den: int) -> tuple[np.
     return np.array(d), linked, int(np.argmin(d))
 
 
+def _beside_pivots(members: DataFrame, pivots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members dealt in chunks of their region, each chunk behind the pivots of its region; no task
+    gets more of a region than its chunks, and no row carries the pivots."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = sizes.select("region", F.ceil(F.greatest(F.col("members") / CHUNK_MEMBERS, F.col("total") / CHUNK_SHINGLES)).cast("bigint").alias("chunks"))
+    blank = F.lit(None).cast("array<bigint>")
+    dealt = members.join(chunks, "region").select("region", F.pmod(F.xxhash64("doc"), F.col("chunks")).alias("chunk"), F.lit(1).alias("kind"), "doc", "shingles", blank.alias("pairs"))
+    copies = pivots.join(chunks, "region").select("region", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "pivots", "pairs")
+    copies = copies.select("region", "chunk", F.lit(0).alias("kind"), F.inline("pivots"), "pairs").select("region", "chunk", "kind", "doc", "shingles", "pairs")
+    return copies.unionAll(dealt).repartition(parts, "region", "chunk").sortWithinPartitions("region", "chunk", "kind", "doc")
+
+
+def _each_member(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """By batch: (region, doc, shingles, pivots, pairs) of its members, from rows of _beside_pivots."""
+    at, pivots, pairs = None, [], ()
+    for batch in batches:
+        out = []
+        for region, chunk, kind, doc, data, linked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (region, chunk) != at:
+                at, pivots, pairs = (region, chunk), [], linked or ()
+            if kind == 0:
+                pivots.append({"doc": doc, "shingles": data})
+            else:
+                out.append((region, doc, data, pivots, pairs))
+        yield out
+
+
 def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """One round over large regions: links to pivots (a, b), and the members of the open regions
     of the next round (region, doc, shingles, root)."""
@@ -266,9 +295,9 @@ def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) ->
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int, int]] = set()
-        for batch in batches:
+        for rows in _each_member(batches):
             out = []
-            for region, doc, data, pivot in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles", "pivots")), strict=True):
+            for region, doc, data, pivot, _ in rows:
                 _, linked, home = _distances(data, pivot, num, den)
                 pairs = {(region, linked[0], k) for k in linked[1:]} - met if linked else set()
                 met |= pairs
@@ -277,7 +306,8 @@ def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) ->
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "doc", "home", "pivot", "near", "pairs"])
 
-    at_home = written(members.join(pivots, "region").mapInArrow(measure, "region bigint, doc bigint, home int, pivot bigint, near boolean, pairs array<bigint>"), "homes")
+    none = F.lit(None).cast("array<bigint>").alias("pairs")
+    at_home = written(_beside_pivots(members, pivots.select("region", "pivots", none), sizes).mapInArrow(measure, "region bigint, doc bigint, home int, pivot bigint, near boolean, pairs array<bigint>"), "homes")
     links = at_home.where("near and doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     pairs = at_home.select("region", F.explode("pairs").alias("pair")).groupBy("region").agg(F.collect_set("pair").alias("pairs"))
     known = pivots.join(pairs, "region", "left")
@@ -285,12 +315,12 @@ def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) ->
     joined = known.select("region", F.explode("pairs").alias("pair"), "pivots").select(F.get("pivots", F.shiftright("pair", 16).cast("int"))["doc"].alias("a"), F.get("pivots", (F.col("pair") % 65536).cast("int"))["doc"].alias("b"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for rows in _each_member(batches):
             out = []
-            for region, doc, data, pivot, links_of in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles", "pivots", "pairs")), strict=True):
+            for region, doc, data, pivot, links_of in rows:
                 d, linked, home = _distances(data, pivot, num, den)
                 groups = Groups(len(pivot))
-                for pair in links_of or ():
+                for pair in links_of:
                     groups.join(pair // 65536, pair % 65536)
                 near = home in linked
                 for k in np.flatnonzero(d <= d[home] + 2 * epsilon + 1e-9).tolist():
@@ -300,7 +330,7 @@ def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) ->
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "pivot", "doc", "shingles", "root"])
 
-    guests = members.join(known, "region").mapInArrow(replicate, "region bigint, pivot bigint, doc bigint, shingles binary, root bigint")
+    guests = _beside_pivots(members, known, sizes).mapInArrow(replicate, "region bigint, pivot bigint, doc bigint, shingles binary, root bigint")
     guests = written(guests, "guests").select(F.xxhash64("region", "pivot").alias("next"), "doc", "shingles", "root")
     open_ones = guests.select("next").distinct()
     hosts = at_home.where("near").select("region", "doc", F.xxhash64("region", "pivot").alias("next"), F.col("pivot").alias("root")).join(open_ones, "next", "left_semi")
