@@ -43,21 +43,16 @@ DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 #: A domain's words are never asked for more often than this.
 MAX_EPOCHS = 1.05
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 MARKERS = 400
 #: Posteriors are multiples of 1 / GRID, so the fit runs over a table of bounded size.
 GRID = 100
-STEPS = 40
+STEPS = 12
 #: Shares further than this from their goals are not met.
 TOLERANCE = 0.02
 LOG = logging.getLogger(__name__)
 
 
-def _tokens(text: Column, words: Column) -> Column:
-    """What a text is classified by."""
-    return F.concat(words, _style(F.coalesce(text, F.lit("")), words))
-
-
 def _words(text_col: str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
@@ -88,28 +83,39 @@ class Classifier:
         return F.transform(F.array_intersect(tokens, known), lambda w: F.array_position(known, w))
 
 
-def _style(text: Column, words: Column) -> Column:
-    """Tokens for a text's length, symbols and repetition; no word has their first character."""
-    n = F.greatest(F.size(words), F.lit(1))
-    symbols = (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))) / n
-    distinct = F.size(F.array_distinct(words)) / F.pow(n, F.lit(0.8))
-    graded = lambda name, x, steps: F.concat(F.lit(f"\n{name}"), sum((F.when(x >= k, 1).otherwise(0) for k in steps), F.lit(0)).cast("string"))
-    return F.array(graded("length", n, (20, 50)), graded("symbols", symbols, (0.01, 0.05, 0.2, 0.6)), graded("variety", distinct, (0.3, 0.6, 1.0, 1.4)))
+def _tokenized(frame: DataFrame, text_col: str, words: str, tokens: str) -> DataFrame:
+    """``frame`` plus its number of words and the tokens by which a text is classified: its words and
+    marks of length, symbols and repetition, whose first character no word has."""
+    split, measured = (fresh([*frame.columns, words, tokens], c) for c in ("mix_split", "mix_measured"))
+    own = [F.col(f"`{c}`") for c in frame.columns]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    # explode() of one element keeps the optimizer from computing a value anew for each of its uses.
+    apart = frame.select(*own, F.explode(F.array(F.struct(_words(text_col).alias("w"), (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).alias("symbols")))).alias(split))
+    n = F.size(f"{split}.w")
+    sizes = F.struct(n.alias("n"), (F.col(f"{split}.symbols") / F.greatest(n, F.lit(1))).alias("symbols"), (F.size(F.array_distinct(f"{split}.w")) / F.pow(F.greatest(n, F.lit(1)), F.lit(0.8))).alias("variety"))
+    apart = apart.select(*own, split, F.explode(F.array(sizes)).alias(measured))
+
+    def graded(name: str, steps: tuple) -> Column:
+        return F.concat(F.lit(f"\n{name}"), sum((F.when(F.col(f"{measured}.{name}") >= k, 1).otherwise(0) for k in steps), F.lit(0)).cast("string"))
+
+    marks = F.array(graded("n", (20, 50)), graded("symbols", (0.01, 0.05, 0.2, 0.6)), graded("variety", (0.3, 0.6, 1.0, 1.4)))
+    return apart.select(*own, F.col(f"{measured}.n").cast("bigint").alias(words), F.concat(f"{split}.w", marks).alias(tokens))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases by accelerated gradient steps on the bounded labelled sample."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     size = max(1.0, float((x.astype(np.float64) ** 2).sum(axis=1).mean()) * len(x) / 2 + ridge)
-    w = ahead = np.zeros((x.shape[1], y.shape[1]))
-    keep = np.append(np.full(x.shape[1] - 1, ridge), 1e-3)[:, None]
+    w = ahead = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    keep = np.append(np.full(x.shape[1] - 1, ridge), 1e-3).astype(np.float32)[:, None]
+    size = np.float32(size)
     for step in range(steps):
         score = x @ ahead
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         before, w = w, ahead - (x.T @ (p - y) + keep * ahead) / size
-        ahead = w + step / (step + 3) * (w - before)
-    return w[:-1], w[-1]
+        ahead = w + np.float32(step / (step + 3)) * (w - before)
+    return w[:-1].astype(float), w[-1].astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Classifier:
@@ -118,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Cla
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(domain.alias("domain")), F.struct(quality, toxic)).alias("d")).select("doc_id", "d.domain")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     sample = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = written(sample.select("domain", F.array_distinct(_tokens(F.col("text"), _words("text"))).alias("tokens")), "labelled")
+    sample = written(_tokenized(sample.select("domain", "text"), "text", "n", "tokens").select("domain", F.array_distinct("tokens").alias("tokens")), "labelled")
     n = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     rest = {d: sum(n.values()) - n.get(d, 0) for d in DOMAINS}
     if not n:
@@ -131,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Cla
         other = sum((F.col(x) for x in DOMAINS if x != d), F.lit(0))
         share = (F.col(d) + other) / (n[d] + rest[d])
         score = (F.col(d) / n[d] - other / rest[d]) / F.sqrt(share * (1 - share) * (1 / n[d] + 1 / rest[d]) + 1e-12)
-        ranked = counts.where(F.col(d) + other >= 3).select("token", F.abs(score).alias("z")).where("z > 4")
+        ranked = counts.where((F.col(d) >= 3) & (F.col(d) / n[d] > 3 * other / rest[d])).select("token", score.alias("z")).where("z > 4")
         markers |= {r.token for r in ranked.orderBy(F.desc("z"), "token").limit(MARKERS).collect()}
     model = Classifier(sorted(markers), np.zeros((len(markers), len(DOMAINS))), np.zeros(len(DOMAINS)))
     rows = sample.select("domain", model.marks(F.col("tokens")).alias("marks")).collect()  # MAX_LABELLED rows of at most 2 MARKERS places
@@ -216,12 +222,9 @@ class Plan:
         LOG.log(logging.INFO if empty or gap("target", "reached") <= TOLERANCE else logging.WARNING, "mixing shares: %s", self.report)
 
     def _features(self, frame: DataFrame, words: str, posterior: str) -> DataFrame:
-        # explode() of one element keeps the optimizer from splitting the text for each use of its words.
-        split, marks = (fresh([*frame.columns, words, posterior], c) for c in ("mix_split", "mix_marks"))
+        tokens, marks = (fresh([*frame.columns, words, posterior], c) for c in ("mix_tokens", "mix_marks"))
         own = [F.col(f"`{c}`") for c in frame.columns]
-        text = F.coalesce(F.col(f"`{self.text_col}`").cast("string"), F.lit(""))
-        apart = frame.select(*own, text.alias(fresh(frame.columns, "mix_text")), F.explode(F.array(_words(self.text_col))).alias(split))
-        apart = apart.select(*own, F.size(split).cast("bigint").alias(words), F.explode(F.array(self.model.marks(_tokens(F.col(fresh(frame.columns, "mix_text")), F.col(split))))).alias(marks))
+        apart = _tokenized(frame, self.text_col, words, tokens).select(*own, words, F.explode(F.array(self.model.marks(F.col(tokens)))).alias(marks))
         return apart.select(*own, words, F.explode(F.array(self.model.posteriors(F.col(marks)))).alias(posterior))
 
     def apply(self, docs: DataFrame) -> DataFrame:
