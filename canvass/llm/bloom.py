@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from .packed import bounds, pack, small, unpack
 from .storage import written
+from .workers import lean
 
 #: Keys that a range is planned for, and the bits of a filter for each; both filters and the packed keys of a range are held by one task.
 RANGE_KEYS = 8_000_000
@@ -105,4 +106,4 @@ def repeated(asked: DataFrame, name: str) -> DataFrame:
 
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = asked.select("block", "span", "data").repartition(parts, "span").sortWithinPartitions("span", "block")
-    return written(dealt.mapInArrow(own, FOUND), name)
+    return written(dealt.mapInArrow(lean(own), FOUND), name)

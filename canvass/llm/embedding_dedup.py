@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import Groups, components
 from .storage import written
+from .workers import lean
 
 THRESHOLD = 0.98
 AXES = 8
@@ -138,7 +139,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     cell_cols = [f"c{k}" for k in range(SORTED_AXES)]
     order = [F.col("label"), F.size("vector"), *cell_cols, F.col("class")]
-    dealt = classes.mapInArrow(celled, f"label string, vector array<{kind}>, class bigint, weight bigint, " + ", ".join(f"{c} bigint" for c in cell_cols)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = classes.mapInArrow(lean(celled), f"label string, vector array<{kind}>, class bigint, weight bigint, " + ", ".join(f"{c} bigint" for c in cell_cols)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -176,7 +177,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if held:
             yield block()
 
-    blocks = written(dealt.mapInArrow(cut, "block bigint, label string, dim int, low array<double>, high array<double>, classes array<bigint>, weights array<bigint>, data binary"), "vector-blocks")
+    blocks = written(dealt.mapInArrow(lean(cut), "block bigint, label string, dim int, low array<double>, high array<double>, classes array<bigint>, weights array<bigint>, data binary"), "vector-blocks")
     # Intervals on the first two axes, widened by epsilon, meet in at least one bucket (coordinates of unit vectors span
     # 2 / epsilon buckets at most); a pair counts in the last of their first ones.
     width = max(epsilon, 1e-3)
@@ -220,7 +221,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 cols = list(zip(*(counts + links), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["class", "n", "other"])
 
-    found = written(pairs.join(left, "block_a").join(right, "block_b").mapInArrow(join, "class bigint, n bigint, other bigint"), "vector-links")
+    found = written(pairs.join(left, "block_a").join(right, "block_b").mapInArrow(lean(join), "class bigint, n bigint, other bigint"), "vector-links")
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null"), "class", "other").withColumnRenamed("node", "class")
     known = classes.drop("vector").join(counts, "class", "left").join(roots, "class", "left").withColumn("component", F.coalesce("component", "class"))

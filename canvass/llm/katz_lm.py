@@ -35,6 +35,7 @@ from .packed import pack as _pack
 from .packed import small as _small
 from .packed import unpack as _unpack
 from .storage import written
+from .workers import lean
 
 FOLDS, HELD_FOLD = 5, 1
 #: Counts up to this are discounted.
@@ -115,7 +116,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     held = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_FOLD
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).cast("binary").alias("raw"))
-    return written(rows.mapInArrow(run, ROW), "lm-blocks")
+    return written(rows.mapInArrow(lean(run), ROW), "lm-blocks")
 
 
 def _exchange(asked: DataFrame, buckets: int, answer: Callable, name: str) -> DataFrame:
@@ -133,7 +134,7 @@ def _exchange(asked: DataFrame, buckets: int, answer: Callable, name: str) -> Da
         if held:
             yield _rows([(k, bucket, kind, d) for k, kind, d in answer(held)])
 
-    return written(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ROW), name)
+    return written(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lean(run), ROW), name)
 
 
 def _summed(held: list, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +174,7 @@ def _stats(table: DataFrame) -> list[int]:
                 total += np.frombuffer(data, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in total], names=[f"s{k}" for k in range(width)])
 
-    part = table.where("kind = 'stats'").select("data").mapInArrow(run, ", ".join(f"s{k} bigint" for k in range(width)))
+    part = table.where("kind = 'stats'").select("data").mapInArrow(lean(run), ", ".join(f"s{k} bigint" for k in range(width)))
     row = part.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(width)]).first()
     return list(row)
 
@@ -282,8 +283,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             keys, counts, *_ = Block(held["texts"][0]).bigrams()
             yield _rows(sliced(block, keys, [_small(counts)]))
 
-    words = _exchange(blocks.mapInArrow(ask_words, ROW), buckets, _count_answer, "lm-words")
-    pairs = _exchange(blocks.mapInArrow(ask_bigrams, ROW), buckets, _count_answer, "lm-bigrams")
+    words = _exchange(blocks.mapInArrow(lean(ask_words), ROW), buckets, _count_answer, "lm-words")
+    pairs = _exchange(blocks.mapInArrow(lean(ask_bigrams), ROW), buckets, _count_answer, "lm-bigrams")
     model = Model(_stats(words), _stats(pairs))
     as_kind = lambda t, kind: t.where("kind = 'answer'").withColumn("kind", F.lit(kind))
     words, pairs = as_kind(words, "words"), as_kind(pairs, "pairs")
@@ -301,7 +302,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             rare = [_small(np.bincount(one[own & (total == c)], minlength=n)) for c in range(1, KATZ_K + 1)]
             yield _rows(sliced(block, b.words, [_small(uses), lower, *rare]))
 
-    weights = _exchange(_by_block([blocks, words, pairs], buckets).mapInArrow(ask_weights, ROW), buckets, lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
+    weights = _exchange(_by_block([blocks, words, pairs], buckets).mapInArrow(lean(ask_weights), ROW), buckets, lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _each_block(batches):
@@ -323,4 +324,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             })
 
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _by_block([blocks, words, pairs, weights], buckets).mapInArrow(judge, out)
+    return _by_block([blocks, words, pairs, weights], buckets).mapInArrow(lean(judge), out)

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .bloom import ASK, asks, ranges_for, repeated
 from .storage import discard, fresh, written
+from .workers import lean
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -103,11 +104,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 places = np.frombuffer(data, "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(ids[places]), pa.array([digests[16 * k : 16 * k + 16] for k in places.tolist()], pa.binary())], names=["id", "key"])
 
-    blocks = written(known.select(F.col(id_col).cast("bigint").alias("id"), raw.alias("raw")).mapInArrow(gather, ASK), "line-blocks")
+    blocks = written(known.select(F.col(id_col).cast("bigint").alias("id"), raw.alias("raw")).mapInArrow(lean(gather), ASK), "line-blocks")
     again = repeated(blocks.where("span >= 0"), "line-repeats")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = blocks.where("span = -1").unionAll(again.select("block", F.lit(0).alias("span"), F.col("places").alias("data")))
-    seen = written(both.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(suspects, "id bigint, key binary"), "line-suspects")
+    seen = written(both.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(lean(suspects), "id bigint, key binary"), "line-suspects")
     discard(blocks, again)
     # Written, so that the join shuffles both of its sides and a very common line can be split.
     common = written(seen.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs).select("key", "last"), "repeated-lines")
@@ -140,7 +141,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [F.col(f"`{c}`") for c in names]
     joined = known.join(drops.withColumnRenamed("id", drop_id), F.col(id_col).cast("bigint") == F.col(drop_id), "left").select(*own, drop_col)
     nameless = docs.where(F.col(id_col).isNull()).select(*own, F.lit(None).cast("array<binary>").alias(drop_col))
-    return joined.mapInArrow(cut, out_schema).unionByName(nameless.mapInArrow(cut, out_schema))
+    return joined.mapInArrow(lean(cut), out_schema).unionByName(nameless.mapInArrow(lean(cut), out_schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from .bloom import asks, ranges_for, repeated
 from .components import Groups, components
 from .storage import discard, fresh, option, written
+from .workers import lean
 
 #: A family or region of at most so many shingles and members is joined in one task.
 REGION_SHINGLES = 3_000_000
@@ -235,7 +236,7 @@ def _joined_whole(members: DataFrame, num: int, den: int) -> DataFrame:
             yield done()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.select("region", "doc", "shingles", "root").repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(run, LINK)
+    return members.select("region", "doc", "shingles", "root").repartition(parts, "region").sortWithinPartitions("region", "doc").mapInArrow(lean(run), LINK)
 
 
 def _pivots(members: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -307,7 +308,7 @@ def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "doc", "home", "pivot", "near", "pairs"])
 
     none = F.lit(None).cast("array<bigint>").alias("pairs")
-    at_home = written(_beside_pivots(members, pivots.select("region", "pivots", none), sizes).mapInArrow(measure, "region bigint, doc bigint, home int, pivot bigint, near boolean, pairs array<bigint>"), "homes")
+    at_home = written(_beside_pivots(members, pivots.select("region", "pivots", none), sizes).mapInArrow(lean(measure), "region bigint, doc bigint, home int, pivot bigint, near boolean, pairs array<bigint>"), "homes")
     links = at_home.where("near and doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b"))
     pairs = at_home.select("region", F.explode("pairs").alias("pair")).groupBy("region").agg(F.collect_set("pair").alias("pairs"))
     known = pivots.join(pairs, "region", "left")
@@ -330,7 +331,7 @@ def _cut_by_pivots(members: DataFrame, sizes: DataFrame, num: int, den: int) ->
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["region", "pivot", "doc", "shingles", "root"])
 
-    guests = _beside_pivots(members, known, sizes).mapInArrow(replicate, "region bigint, pivot bigint, doc bigint, shingles binary, root bigint")
+    guests = _beside_pivots(members, known, sizes).mapInArrow(lean(replicate), "region bigint, pivot bigint, doc bigint, shingles binary, root bigint")
     guests = written(guests, "guests").select(F.xxhash64("region", "pivot").alias("next"), "doc", "shingles", "root")
     open_ones = guests.select("next").distinct()
     hosts = at_home.where("near").select("region", "doc", F.xxhash64("region", "pivot").alias("next"), F.col("pivot").alias("root")).join(open_ones, "next", "left_semi")
@@ -445,12 +446,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = pa.array([xxhash.xxh3_128_digest(d) == k for d, k in zip(data, batch.column("key").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc"), pa.array(data, pa.binary())], names=["region", "doc", "shingles"]).filter(own)
 
-    gathered = written(rows.mapInArrow(gather, "block bigint, span int, data binary, doc_id bigint, n_shingles bigint, key binary"), "shingle-blocks")
+    gathered = written(rows.mapInArrow(lean(gather), "block bigint, span int, data binary, doc_id bigint, n_shingles bigint, key binary"), "shingle-blocks")
     summary = gathered.where("span = -1").select("doc_id", "n_shingles", "key")
     again = repeated(gathered.where("span >= 0"), "signature-repeats")
     none = F.lit(None).cast("binary")
     tables = gathered.where("span = -2").select("block", "span", "data", none.alias("keys")).unionAll(again.select("block", F.lit(0).alias("span"), F.col("places").alias("data"), "keys"))
-    neighbours = written(tables.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(suspects, "sig bigint, cid bigint"), "signature-suspects")
+    neighbours = written(tables.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(lean(suspects), "sig bigint, cid bigint"), "signature-suspects")
     discard(again)
     least = written(neighbours.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select("sig", "least"), "signatures")
     families = components(neighbours.join(least, "sig").where("cid <> least").select("least", "cid").distinct(), "least", "cid")
@@ -459,7 +460,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(classes.withColumn("doc", F.monotonically_increasing_id()), "set-classes")
     chosen = written(classes.withColumn("node", _cid("key")).join(families, "node").select(F.col("component").alias("region"), "doc", "key", "rep"), "family-members")
     # A merge join at any size: the cost then follows the input, and nothing is broadcast. Rows that repeat an id with other texts drop out by key.
-    own = rows.hint("merge").join(chosen.hint("merge"), rows.doc_id == chosen.rep).select("region", "doc", "key", "raw").mapInArrow(with_sets, "region bigint, doc bigint, shingles binary")
+    own = rows.hint("merge").join(chosen.hint("merge"), rows.doc_id == chosen.rep).select("region", "doc", "key", "raw").mapInArrow(lean(with_sets), "region bigint, doc bigint, shingles binary")
     members = written(own.dropDuplicates(["doc"]), "family-sets")
     roots = components(family_links(members, num, den), "a", "b")
     linked = written(roots.join(classes.select(F.col("doc").alias("node"), "key", "rep"), "node"), "linked-classes")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import fresh
+from .workers import lean
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -184,7 +185,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_A
                 found[code] = found.get(code, 0) + 1
         yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
 
-    rows = docs.select(raw).mapInArrow(tally, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    rows = docs.select(raw).mapInArrow(lean(tally), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     codes = np.array([r.pattern for r in rows], np.int64)
     post = fit(codes, np.array([r.n for r in rows])) if rows else np.zeros(0)
     table = dict(zip(codes.tolist(), post.tolist(), strict=True))
@@ -207,7 +208,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", keep_at: float = KEEP_A
             types = [pa.int64()] * len(BASE) + [pa.bool_(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(v, t) for v, t in zip(out, types, strict=True)]], names=[*names, *added])
 
-    return docs.withColumn(fresh(names, "raw"), raw).mapInArrow(judge, schema)
+    return docs.withColumn(fresh(names, "raw"), raw).mapInArrow(lean(judge), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from .storage import discard, fresh, written
 from .suffixes import repeated_starts
+from .workers import lean
 
 LENGTH = 400
 GRAM = 64
@@ -170,7 +171,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
                 met.clear()
             yield _columns(rows, [_LONG, _LONG, _LONG, _INT, _INT, _INT, _LONG, _LONG], "k1 k2 gram place first last a1 a2")
 
-    anchors = written(texts.mapInArrow(choose, "k1 bigint, k2 bigint, gram bigint, place int, first int, last int, a1 bigint, a2 bigint"), "anchors")
+    anchors = written(texts.mapInArrow(lean(choose), "k1 bigint, k2 bigint, gram bigint, place int, first int, last int, a1 bigint, a2 bigint"), "anchors")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("k1", "k2", "place") for f in (F.min, F.max)]
     again = anchors.groupBy("gram").agg(*ends).where("min_k1 <> max_k1 or min_k2 <> max_k2 or min_place <> max_place").select("gram")
     again = written(again, "repeated-grams")
@@ -198,7 +199,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
             yield _columns(rows, kinds, names)
 
     one_each = texts.groupBy("k1", "k2").agg(F.first("raw").alias("raw"))
-    fetched = one_each.join(wanted, ["k1", "k2"]).select("raw", "wanted").mapInArrow(fetch, "gram bigint, a1 bigint, a2 bigint, distance int, many boolean, size bigint, data binary")
+    fetched = one_each.join(wanted, ["k1", "k2"]).select("raw", "wanted").mapInArrow(lean(fetch), "gram bigint, a1 bigint, a2 bigint, distance int, many boolean, size bigint, data binary")
     fetched = written(fetched, "bucket-bytes")
     discard(around, groups)
 
@@ -226,7 +227,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
 
     usual = fetched.where(F.col("size") <= hot).select(*AROUND, "many", "data").repartition(parts, "gram").sortWithinPartitions("gram")
     runs_schema = "gram bigint, a1 bigint, a2 bigint, distance int, runs array<struct<a:int,b:int>>"
-    runs = usual.mapInArrow(sort, runs_schema)
+    runs = usual.mapInArrow(lean(sort), runs_schema)
 
     def by_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +241,7 @@ def repeated_spans(texts: DataFrame, length: int, hot: int) -> DataFrame:
                 )
 
     hot_rows = fetched.where(F.col("size") > hot).select(*AROUND, "many", "data")
-    strings = written(hot_rows.mapInArrow(by_string, "gram bigint, a1 bigint, a2 bigint, distance int, uses int, a int, s1 bigint, s2 bigint"), "hot-strings")
+    strings = written(hot_rows.mapInArrow(lean(by_string), "gram bigint, a1 bigint, a2 bigint, distance int, uses int, a int, s1 bigint, s2 bigint"), "hot-strings")
     common = written(strings.groupBy("s1", "s2").agg(F.sum("uses").alias("n")).where("n > 1").select("s1", "s2"), "hot-repeats")
     found = strings.join(common, ["s1", "s2"]).groupBy(*AROUND).agg(F.collect_list(F.struct("a", F.col("a").alias("b"))).alias("runs"))
     # A row for each surrounding, written, so that the join can split those that many texts share.
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     known = found.select(F.col("k1").alias("found_k1"), F.col("k2").alias("found_k2"), F.col("spans").alias(span_col))
     joined = keyed.join(known, (keyed[k1] == known["found_k1"]) & (keyed[k2] == known["found_k2"]), "left").select(*own, raw.alias(raw_col), span_col)
     short = docs.where(F.coalesce(F.length(raw) < length, F.lit(True))).select(*own, raw.alias(raw_col), F.lit(None).cast(found.schema["spans"].dataType).alias(span_col))
-    return joined.mapInArrow(cut, schema).unionByName(short.mapInArrow(cut, schema))
+    return joined.mapInArrow(lean(cut), schema).unionByName(short.mapInArrow(lean(cut), schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:

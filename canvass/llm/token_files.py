@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import load
+from .workers import lean
 
 END_ID = 2
 NULL_ID = -(1 << 63)
@@ -76,7 +77,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    found = sorted(dealt.mapInArrow(write, "part int, docs bigint, ids bigint").collect())
+    found = sorted(dealt.mapInArrow(lean(write), "part int, docs bigint, ids bigint").collect())
     base, index = 0, {"width": width, "end_id": end_id, "parts": []}
     for r in found:  # a row for each part
         index["parts"].append({"part": r.part, "docs": r.docs, "ids": r.ids, "base": base})
@@ -134,4 +135,4 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
 
     rows = [(p["part"], p["base"]) for p in index["parts"]]
     parts = spark.createDataFrame(rows, "part int, base bigint").repartitionByRange(max(1, len(rows)), "part")
-    return parts.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return parts.mapInArrow(lean(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
