@@ -8,7 +8,9 @@ the window of every Voronoi region. Hence two levels:
    fewer than m shingles, so they agree on a whole class; equal classes link documents into
    families, without loss. m follows from the sizes; a set with too many empty classes is dealt
    again with another seed, as a shared empty class says nothing. Signatures of classes go through
-   a pair of Bloom filters, packed, and only those that may occur twice are looked at.
+   a pair of Bloom filters, packed, and only those that may occur twice are looked at. Members of a
+   family that share too few of their shingles with it to link with anyone are taken out by another
+   pair of filters, and families are formed anew without them.
 2. Regions. All links come from here. Pivots cut a family: each member goes to the region of its
    nearest pivot and, by the triangle inequality, also to each region whose pivot is at most
    2 epsilon further, so a link is found in at least one region. Regions are cut again until
@@ -380,6 +382,70 @@ def _family_links(members: DataFrame, num: int, den: int) -> DataFrame:
     return links
 
 
+def _families(neighbours: DataFrame) -> DataFrame:
+    """(node, component) of the cids of rows (sig, cid), linked by equal signatures."""
+    least = written(neighbours.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select("sig", "least"), "signatures")
+    found = components(neighbours.join(least, "sig").where("cid <> least").select("least", "cid").distinct(), "least", "cid")
+    discard(least)
+    return found
+
+
+def _lonely(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Docs of rows (region, doc, shingles) that link with nothing: whoever links shares num/den of
+    its shingles with the other, but fewer of theirs occur twice in their region. This takes out
+    texts that only a common passage has brought into a family, and so cuts large families."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges_for(int(members.select(F.sum(F.length("shingles"))).first()[0] or 0) // 8, parts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        docs, keys, total = [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            block = (part << 32) + number
+            rows = [*asks(block, np.concatenate(keys), ranges), (block, -2, np.array(docs + [len(k) for k in keys], "<i8").tobytes())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "span", "data"])
+
+        for batch in batches:
+            for region, doc, data in zip(*(batch.column(c).to_pylist() for c in ("region", "doc", "shingles")), strict=True):
+                with np.errstate(over="ignore"):
+                    keys.append(_mix(_as_set(data) + _mix(np.array([region], np.int64).view(np.uint64))))
+                docs.append(doc)
+                total += len(keys[-1])
+                if total > BLOCK_SIGNATURES:
+                    yield closed()
+                    docs, keys, total, number = [], [], 0, number + 1
+        if docs:
+            yield closed()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, docs, n, hits = None, None, None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(docs[hits * den < n * num])], names=["doc"])
+
+        for batch in batches:
+            for b, span, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(data, "<i8")
+                if span == -2:
+                    if block is not None:
+                        yield done()
+                    block, docs, n = b, values[: len(values) // 2], values[len(values) // 2 :]
+                    ends, hits = np.cumsum(n), np.zeros(len(n), np.int64)
+                else:
+                    assert b == block
+                    hits += np.bincount(np.searchsorted(ends, values, side="right"), minlength=len(n))
+        if block is not None:
+            yield done()
+
+    asked = written(members.mapInArrow(lean(ask), "block bigint, span int, data binary"), "shingle-asks")
+    again = repeated(asked.where("span >= 0"), "shingle-repeats")
+    rows = asked.where("span = -2").unionAll(again.select("block", F.lit(0).alias("span"), F.col("places").alias("data")))
+    out = written(rows.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(lean(judge), "doc bigint"), "lonely")
+    discard(asked, again)
+    return out
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; links are Jaccard >= num/den."""
     spark = docs.sparkSession
@@ -453,15 +519,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = gathered.where("span = -2").select("block", "span", "data", none.alias("keys")).unionAll(again.select("block", F.lit(0).alias("span"), F.col("places").alias("data"), "keys"))
     neighbours = written(tables.repartition(parts, "block").sortWithinPartitions("block", "span").mapInArrow(lean(suspects), "sig bigint, cid bigint"), "signature-suspects")
     discard(again)
-    least = written(neighbours.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select("sig", "least"), "signatures")
-    families = components(neighbours.join(least, "sig").where("cid <> least").select("least", "cid").distinct(), "least", "cid")
-    discard(neighbours, least)
+    families = _families(neighbours)
     classes = summary.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     classes = written(classes.withColumn("doc", F.monotonically_increasing_id()), "set-classes")
-    chosen = written(classes.withColumn("node", _cid("key")).join(families, "node").select(F.col("component").alias("region"), "doc", "key", "rep"), "family-members")
+    chosen = written(classes.withColumn("node", _cid("key")).join(families, "node").select("node", F.col("component").alias("region"), "doc", "key", "rep"), "family-members")
     # A merge join at any size: the cost then follows the input, and nothing is broadcast. Rows that repeat an id with other texts drop out by key.
     own = rows.hint("merge").join(chosen.hint("merge"), rows.doc_id == chosen.rep).select("region", "doc", "key", "raw").mapInArrow(lean(with_sets), "region bigint, doc bigint, shingles binary")
-    members = written(own.dropDuplicates(["doc"]), "family-sets")
+    found = written(own.dropDuplicates(["doc"]), "family-sets")
+    # Families of those that share enough with their family; signatures of the others no longer join anything.
+    live = written(chosen.join(_lonely(found, num, den), "doc", "left_anti").select("node", "doc"), "live-members")
+    families = _families(neighbours.join(live.select(F.col("node").alias("cid")).distinct(), "cid", "left_semi").select("sig", "cid"))
+    members = written(found.drop("region").join(live.join(families, "node").select(F.col("component").alias("region"), "doc"), "doc").select("region", "doc", "shingles"), "families")
+    discard(neighbours, found)
     roots = components(family_links(members, num, den), "a", "b")
     linked = written(roots.join(classes.select(F.col("doc").alias("node"), "key", "rep"), "node"), "linked-classes")
     least_id = written(linked.groupBy("component").agg(F.min("rep").alias("least_id")), "groups")

@@ -114,3 +114,13 @@ def test_rows_that_repeat_an_id_lose_no_link(spark):
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "alone in all the world")]
     got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_members_without_a_link_leave_the_family(spark):
+    rng = random.Random(2)
+    shared = [f"p{i}" for i in range(60)]
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [own(20) + shared + own(20) for _ in range(30)] + [shared + ["x"], shared + ["y"]]
+    sets = [(1, k, bytearray(ngram_join.shingle_set(" ".join(t).encode(), 5).tobytes())) for k, t in enumerate(texts)]
+    members = spark.createDataFrame(sets, "region bigint, doc bigint, shingles binary")
+    assert {r.doc for r in ngram_join._lonely(members, 4, 5).collect()} == set(range(30))
