@@ -43,7 +43,7 @@ DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 #: A domain's words are never asked for more often than this.
 MAX_EPOCHS = 1.05
-MAX_LABELLED = 10_000
+MAX_LABELLED = 8_000
 MARKERS = 400
 #: Posteriors are multiples of 1 / GRID, so the fit runs over a table of bounded size.
 GRID = 100
@@ -54,7 +54,7 @@ LOG = logging.getLogger(__name__)
 
 
 def _words(text_col: str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 class Classifier:
@@ -92,14 +92,16 @@ def _tokenized(frame: DataFrame, text_col: str, words: str, tokens: str) -> Data
     # explode() of one element keeps the optimizer from computing a value anew for each of its uses.
     apart = frame.select(*own, F.explode(F.array(F.struct(_words(text_col).alias("w"), (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", ""))).alias("symbols")))).alias(split))
     n = F.size(f"{split}.w")
-    sizes = F.struct(n.alias("n"), (F.col(f"{split}.symbols") / F.greatest(n, F.lit(1))).alias("symbols"), (F.size(F.array_distinct(f"{split}.w")) / F.pow(F.greatest(n, F.lit(1)), F.lit(0.8))).alias("variety"))
-    apart = apart.select(*own, split, F.explode(F.array(sizes)).alias(measured))
+    distinct = fresh([*frame.columns, words, tokens, split, measured], "mix_distinct")
+    apart = apart.select(*own, n.alias(words), F.col(f"{split}.symbols").alias(split), F.explode(F.array(F.array_distinct(f"{split}.w"))).alias(distinct))
+    n = F.greatest(F.col(words), F.lit(1))
+    apart = apart.select(*own, words, distinct, F.struct(n.alias("n"), (F.col(split) / n).alias("symbols"), (F.size(distinct) / F.pow(n, F.lit(0.8))).alias("variety")).alias(measured))
 
     def graded(name: str, steps: tuple) -> Column:
         return F.concat(F.lit(f"\n{name}"), sum((F.when(F.col(f"{measured}.{name}") >= k, 1).otherwise(0) for k in steps), F.lit(0)).cast("string"))
 
     marks = F.array(graded("n", (20, 50)), graded("symbols", (0.01, 0.05, 0.2, 0.6)), graded("variety", (0.3, 0.6, 1.0, 1.4)))
-    return apart.select(*own, F.col(f"{measured}.n").cast("bigint").alias(words), F.concat(f"{split}.w", marks).alias(tokens))
+    return apart.select(*own, F.col(words).cast("bigint").alias(words), F.concat(distinct, marks).alias(tokens))
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, ridge: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Cla
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(domain.alias("domain")), F.struct(quality, toxic)).alias("d")).select("doc_id", "d.domain")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     sample = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = written(_tokenized(sample.select("domain", "text"), "text", "n", "tokens").select("domain", F.array_distinct("tokens").alias("tokens")), "labelled")
+    sample = written(_tokenized(sample.select("domain", "text"), "text", "n", "tokens").select("domain", "tokens"), "labelled")
     n = {r.domain: r["count"] for r in sample.groupBy("domain").count().collect()}
     rest = {d: sum(n.values()) - n.get(d, 0) for d in DOMAINS}
     if not n:
