@@ -13,8 +13,8 @@ from .errors import CanvassError, ManifestError
 from .operators.summary import build_report_data
 from .plans.codebook import Severity
 from .plans.rules import load_rules
-from .plugins import report_generators
-from .run import Orchestrator, Stage, load_manifest
+from .plugins import REPORTS, plugin
+from .run import Orchestrator, Stage, artifact_of, completed, read_log
 from .sources.artifacts import load_findings
 
 FOLDERS = ("metadata", "rules", "datasets/raw", "datasets/processed", "reports", "logs")
@@ -74,11 +74,11 @@ def _init(folder: Path) -> None:
 
 def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.command == "report":
-        manifest = load_manifest(args.run_dir / "manifest.json")
-        if Stage.VALIDATING not in manifest.completed_stages:
+        log = read_log(args.run_dir / "manifest.json")
+        if Stage.VALIDATING not in completed(log):
             raise ManifestError(f"the run in {args.run_dir} has not been validated yet")
-        findings = load_findings(spark, manifest.artifact_for(Stage.VALIDATING))
-        print(f"Report written to {report_generators.get(args.format).build(build_report_data(findings), args.output)}")
+        findings = load_findings(spark, artifact_of(log, Stage.VALIDATING))
+        print(f"Report written to {plugin(REPORTS, args.format).build(build_report_data(findings), args.output)}")
         return 0
     rules = load_rules(args.rules) if args.command != "clean" else ()
     work = Orchestrator(spark, args.data, args.metadata, args.run_dir, rules=rules, parser=args.parser, backend=args.backend)
@@ -91,7 +91,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> int:
         return int(data.severities[Severity.ERROR] > 0)
     print(f"Cleaned data written to {work.cleaned_path}")
     if args.command == "export":
-        print(f"Report written to {report_generators.get(args.report_format).build(data, args.report_output)}")
+        print(f"Report written to {plugin(REPORTS, args.report_format).build(data, args.report_output)}")
     return 0
 
 

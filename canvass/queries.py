@@ -344,10 +344,10 @@ def shadow_legacy_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shadow.only_in(old, new, "k")
 
 
-@_query(f"{_NEW} EXCEPT SELECT DISTINCT event_type AS k FROM events WHERE event_type = 'click'")
+@_query(f"{_NEW} EXCEPT SELECT DISTINCT event_type AS k FROM events WHERE event_type = 'signup'")
 def shadow_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _shadow(spark, sf_dir)
-    return shadow.only_in(new, _table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_type").alias("k")), "k")
+    return shadow.only_in(new, _table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("event_type").alias("k")), "k")
 
 
 @_query(f"{_LEGACY} INTERSECT {_NEW}")

@@ -25,7 +25,7 @@ def codebook_from_metadata(meta: Any) -> Codebook:
     questions: list[Question] = []
     members: set[str] = set()
     for name, found in sets.items():
-        if found.get("type") not in ("D", "dichotomy", None):
+        if not found.get("is_dichotomy", found.get("type") in ("D", "dichotomy", None)):
             raise MetadataParseError(f"multiple response set {name!r} is not one of dichotomies")
         variables = list(found.get("variable_list") or [])
         if not variables:

@@ -7,12 +7,12 @@ from types import SimpleNamespace
 from canvass import errors as E
 from canvass import cli
 from canvass.config import configure_logging, load_config
-from canvass.operators.shadow import compare_legacy_and_new
+from canvass.operators.shadow import by_key, divergence
 from canvass.operators.summary import build_report_data
 from canvass.operators.validate import validate
 from canvass.plans.rules import parse_rules
-from canvass.plugins import PluginRegistry, data_backends, metadata_parsers, report_generators
-from canvass.run import Hooks, Manifest, Orchestrator, Stage, load_manifest
+from canvass.plugins import BACKENDS, PARSERS, REPORTS, add_installed, add_plugin, available, plugin
+from canvass.run import Hooks, Orchestrator, Stage, artifact_of, completed, new_log, note, read_log, write_log
 from canvass.sources import artifacts, legacy, sav, tables
 from canvass.streaming.findings import stream_findings, windowed_counts
 
@@ -93,7 +93,7 @@ def findings(spark):
 
 def test_reports_agree(spark, tmp_path):
     data = build_report_data(findings(spark))
-    paths = {n: report_generators.get(n).build(data, tmp_path / n) for n in report_generators.names()}
+    paths = {n: plugin(REPORTS, n).build(data, tmp_path / n) for n in available(REPORTS)}
     report = json.loads(paths["json"].read_text())
     assert report["summary"] == {"total": 2, "by_severity": {"info": 0, "warning": 1, "error": 1}, "by_rule": [{"rule_id": "old", "severity": "error", "count": 1}, {"rule_id": "young", "severity": "warning", "count": 1}]}
     assert [r["row_index"] for r in report["results"]] == [0, 2]
@@ -124,8 +124,8 @@ def test_run_and_resume(spark, tmp_path):
     found = work.run()
     assert [(r.rule_id, r.row_index) for r in found.orderBy("row_index").collect()] == [("__domain__:AGE:type", 0), ("__domain__:AGE:type", 1)]
     assert heard == ["start", 0, 1, True]
-    manifest = load_manifest(work.manifest_path)
-    assert manifest.completed_stages == set(Stage) and Manifest.from_dict(manifest.to_dict()) == manifest
+    log = read_log(work.manifest_path)
+    assert completed(log) == set(Stage) and log == work.log
     stamp = work.cleaned_path.stat().st_mtime_ns
     assert Orchestrator(spark, p / "d.csv", p / "book.yaml", p / "run").run(resume=True).count() == 2
     assert work.cleaned_path.stat().st_mtime_ns == stamp
@@ -136,15 +136,26 @@ def test_run_and_resume(spark, tmp_path):
         Orchestrator(spark, p / "d.csv", p / "book.yaml", p / "other").run(resume=True)
 
 
+def test_log_keeps_every_completion(tmp_path):
+    log = new_log("mark")
+    log["error"] = "it failed"
+    for k in (1, 2):
+        note(log, Stage.CLEANING, tmp_path / f"{k}.parquet")
+    write_log(log, tmp_path / "log.json")
+    back = read_log(tmp_path / "log.json")
+    assert back == log and back["error"] is None and len(back["history"]) == 2
+    assert artifact_of(back, Stage.CLEANING) == str(tmp_path / "2.parquet") and artifact_of(back, Stage.COMPLETE) is None
+
+
 def test_failed_run_is_recorded(spark, tmp_path):
     p, ends = project(tmp_path), []
     (p / "book.yaml").write_text("questions: []")
     with pytest.raises(E.MetadataParseError):
         Orchestrator(spark, p / "d.csv", p / "book.yaml", p / "run", hooks=Hooks(on_end=[ends.append])).run()
-    assert ends == [False] and "MetadataParseError" in load_manifest(p / "run/manifest.json").error
+    assert ends == [False] and "MetadataParseError" in read_log(p / "run/manifest.json")["error"]
     with pytest.raises(E.ManifestError):
         (p / "run/manifest.json").write_text("{}")
-        load_manifest(p / "run/manifest.json")
+        read_log(p / "run/manifest.json")
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -162,15 +173,14 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_plugins():
-    assert data_backends.names() == ["spark"] and metadata_parsers.names() == ["sav", "yaml"] and len(report_generators) == 4
-    own = PluginRegistry("canvass.none")
-    own.register("a", 1)
+    assert available(BACKENDS) == ["spark"] and available(PARSERS) == ["sav", "yaml"] and len(available(REPORTS)) == 4
+    add_plugin("canvass.none", "a", 1)
     with pytest.raises(E.DuplicatePluginError):
-        own.register("a", 2)
-    own.register("a", 2, overwrite=True)
-    assert own.get("a") == 2 and "a" in own and own.discover_entry_points() == []
+        add_plugin("canvass.none", "a", 2)
+    add_plugin("canvass.none", "a", 2, replace=True)
+    assert plugin("canvass.none", "a") == 2 and available("canvass.none") == ["a"] and add_installed("canvass.none") == []
     with pytest.raises(E.PluginNotFoundError):
-        own.get("b")
+        plugin("canvass.none", "b")
 
 
 def test_settings(tmp_path):
@@ -206,9 +216,11 @@ def test_legacy_files(spark, tmp_path):
 
 def test_shadow_comparison(spark):
     old = legacy.parse_legacy_error_log("J List of Errors\nyoung\t1\ngone\t1\n")
-    report = compare_legacy_and_new(old, findings(spark))
-    assert (report.legacy_only_keys, report.new_only_rule_ids, report.common_keys) == (("gone",), ("old",), ("young",))
-    assert report.totals_match and report.has_unmatched_keys
+    keys = by_key(old, findings(spark))
+    assert [tuple(r) for r in keys.collect()] == [("gone", 1, None), ("old", None, 1), ("young", 1, 1)]
+    r = divergence(keys).first()
+    assert (r.legacy_only, r.new_only, r.common) == (["gone"], ["old"], ["young"])
+    assert r.totals_match and r.unmatched and (r.legacy_total, r.new_total) == (2, 2)
 
 
 def test_sav_metadata():
@@ -219,6 +231,9 @@ def test_sav_metadata():
     book = sav.codebook_from_metadata(meta)
     assert [(type(q).__name__, q.id) for q in book] == [("MultiQuestion", "B"), ("SingleQuestion", "SEX"), ("TextQuestion", "NAME"), ("NumericQuestion", "AGE")]
     assert [c.code for c in book.get_question("SEX").categories] == [1, 2] and [c.label for c in book.get_question("B").categories] == ["Brand A", "B2"]
+    meta.mr_sets["$B"] = {"type": "C", "is_dichotomy": False, "variable_list": ["B1"]}
+    with pytest.raises(E.MetadataParseError, match="dichotomies"):
+        sav.codebook_from_metadata(meta)
     for bad in (True, 1.5, "a"):
         with pytest.raises(E.MetadataParseError):
             sav.label_code(bad)
