@@ -8,7 +8,7 @@ exchanges - words, bigrams, backoff weights of histories - and each answer is a
 partitioned by block. A token is then scored recursively: the discounted bigram if it was seen,
 else the history's backoff weight times the discounted unigram. All bigrams count; none is cut.
 
-Trigram tables would not fit the disk that the check tool allows; the model has order two.
+The model has order two; the README has the measured size of the exchanges for order three.
 
 Words and bigrams are known by 64-bit hashes. The model's words are those of the training
 texts, the end token, and one class for all others, which has the unigram mass that discounting
@@ -42,6 +42,8 @@ FOLDS, HELD_FOLD = 5, 1
 KATZ_K = 5
 #: A block is closed beyond so many tokens.
 BLOCK_TOKENS = 2_200_000
+#: A bucket gets about as many keys as so many blocks have.
+BUCKET_BLOCKS = 2
 #: Hashes that stand for the end token and for the start of a text.
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -119,7 +121,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(lean(run), ROW), "lm-blocks")
 
 
-def _exchange(asked: DataFrame, buckets: int, answer: Callable, name: str) -> DataFrame:
+def _exchange(asked: DataFrame, answer: Callable, name: str) -> DataFrame:
     """Written answers of the buckets. ``answer(list of (block, arrays))`` yields rows for a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,8 @@ def _exchange(asked: DataFrame, buckets: int, answer: Callable, name: str) -> Da
         if held:
             yield _rows([(k, bucket, kind, d) for k, kind, d in answer(held)])
 
-    return written(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lean(run), ROW), name)
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lean(run), ROW), name)
 
 
 def _summed(held: list, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,8 +269,10 @@ def _joined(parts: list[bytes], column: int) -> np.ndarray:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs, id_col, text_col)
+    # A task holds one bucket at a time, so buckets follow the number of blocks, not the number of partitions.
+    buckets = max(parts, -(-blocks.count() // BUCKET_BLOCKS))
 
     def sliced(block: int, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
         at = _bounds(keys, buckets)
@@ -283,8 +288,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             keys, counts, *_ = Block(held["texts"][0]).bigrams()
             yield _rows(sliced(block, keys, [_small(counts)]))
 
-    words = _exchange(blocks.mapInArrow(lean(ask_words), ROW), buckets, _count_answer, "lm-words")
-    pairs = _exchange(blocks.mapInArrow(lean(ask_bigrams), ROW), buckets, _count_answer, "lm-bigrams")
+    words = _exchange(blocks.mapInArrow(lean(ask_words), ROW), _count_answer, "lm-words")
+    pairs = _exchange(blocks.mapInArrow(lean(ask_bigrams), ROW), _count_answer, "lm-bigrams")
     model = Model(_stats(words), _stats(pairs))
     as_kind = lambda t, kind: t.where("kind = 'answer'").withColumn("kind", F.lit(kind))
     words, pairs = as_kind(words, "words"), as_kind(pairs, "pairs")
@@ -302,7 +307,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             rare = [_small(np.bincount(one[own & (total == c)], minlength=n)) for c in range(1, KATZ_K + 1)]
             yield _rows(sliced(block, b.words, [_small(uses), lower, *rare]))
 
-    weights = _exchange(_by_block([blocks, words, pairs], buckets).mapInArrow(lean(ask_weights), ROW), buckets, lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
+    weights = _exchange(_by_block([blocks, words, pairs], parts).mapInArrow(lean(ask_weights), ROW), lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _each_block(batches):
@@ -324,4 +329,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             })
 
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _by_block([blocks, words, pairs, weights], buckets).mapInArrow(lean(judge), out)
+    return _by_block([blocks, words, pairs, weights], parts).mapInArrow(lean(judge), out)
