@@ -87,6 +87,33 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, r.component_id, r.vec_id = r.component_id AS kept
         FROM roots r LEFT JOIN counts c ON c.vec_id = r.vec_id
     """,
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS k FROM w WHERE len(w) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL) p
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 90 * (na.n + nb.n - common)
+        ), reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id)
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+    "op8_repeated_spans": r"""
+        WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+        starts AS (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 800)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 399))) AS pos FROM h)),
+        again AS (SELECT doc_id, pos FROM starts WHERE s IN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1)),
+        edges AS (SELECT doc_id, pos, pos > coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -1000) + 400 AS opens FROM again),
+        runs AS (SELECT doc_id, min(pos) AS a, max(pos) + 400 AS b FROM (SELECT doc_id, pos, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM edges) GROUP BY doc_id, run),
+        gaps AS (
+            SELECT r.doc_id, coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS f, a AS t FROM runs r
+            UNION ALL SELECT doc_id, max(b), 1000000000 FROM runs GROUP BY doc_id
+        ), kept AS (
+            SELECT g.doc_id, string_agg(substr(h.h, 2 * f + 1, 2 * (least(t, len(h.h) // 2) - f)), '' ORDER BY f) AS k FROM gaps g JOIN h ON h.doc_id = g.doc_id GROUP BY g.doc_id
+        ), sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+        SELECT h.doc_id, CAST(len(h.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.k, h.h))) AS kept_sha256
+        FROM h LEFT JOIN sums s ON s.doc_id = h.doc_id LEFT JOIN kept k ON k.doc_id = h.doc_id
+    """,
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos
