@@ -340,3 +340,20 @@ def test_katz_on_odd_tables(spark):
     only_held = next(d for d in range(50) if zlib.crc32(str(d).encode()) % 5 == 1)
     assert katz_lm.score(spark.createDataFrame([(only_held, "a b", 1)], schema)).first().train_tokens == 0
     assert katz_lm.score(spark.createDataFrame([(None, "a b", 1), (None, "a b", 1)], schema)).count() == 2
+
+
+def test_quality_verdict_is_no_veto():
+    """Simulated votes of rules with known accuracies: single bad votes of weak rules don't convict, agreement does."""
+    rng = np.random.default_rng(12)
+    k, n = len(quality_rules.RULES), 40_000
+    good = rng.random(n) < 0.8
+    right_good, right_bad = rng.uniform(0.85, 0.98, k), rng.uniform(0.6, 0.9, k)
+    right = rng.random((n, k)) < np.where(good[:, None], right_good, right_bad)
+    votes = np.where(right == good[:, None], quality_rules.GOOD, quality_rules.BAD)
+    votes = np.where(rng.random((n, k)) < 0.2, quality_rules.ABSTAIN, votes)
+    codes, place, counts = np.unique(votes @ 3 ** np.arange(k - 1, -1, -1), return_inverse=True, return_counts=True)
+    kept = quality_rules.fit(codes, counts)[place] >= 0.5
+    bad_vote = (votes == quality_rules.BAD).any(axis=1)
+    assert (kept == good).mean() > 0.98
+    assert (kept & bad_vote).sum() > 0.3 * n  # a filter of all-must-pass would drop these
+    assert (~kept & ((votes == quality_rules.BAD).sum(axis=1) < 2)).sum() < 0.01 * n
