@@ -274,3 +274,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept[0]) == set(range(41))
     assert sum(shared in t for t in kept[1].values()) == 1
     assert set(kept[2]) == set(range(40)) == set(kept[3]) == set(kept[4])
+
+
+def test_tokens_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a b", 1), (1, "x", 2), (1, "x", 3), (1, "other words", 4), (None, None, 5), (2, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, piece int").repartition(3)
+    out = packing.pack(docs, WORDS).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((d is None, d or 0) for d, *_ in rows)
+    assert len({r.sequence_id for r in out}) == 1 and sorted(r.offset + r.length for r in out)[-1] == sum(r.length for r in out)
+    token_files.write_tokens(docs, str(tmp_path / "t"), BYTE)
+    back = token_files.read_digest(spark, str(tmp_path / "t")).collect()
+    encoder = tokens.Encoder(BYTE)
+    crc = lambda t: zlib.crc32(np.append(encoder.whole(t or ""), 2).astype("<u4").tobytes())
+    assert sorted((r.doc_id or 0, r.ids_crc32) for r in back) == sorted((d or 0, crc(t)) for d, t, _ in rows)
+    at = 0
+    for r in sorted(back, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id is None for r in sorted(back, key=lambda r: r.start)] == [True, True, False, False, False, False]
