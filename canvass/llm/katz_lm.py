@@ -1,18 +1,22 @@
-"""Katz backoff bigram model: counts, Good-Turing discounts, exactly normalised backoff weights.
+"""Katz backoff model of order three: counts, Good-Turing discounts, exactly normalised backoff weights.
 
 Documents are cut into blocks of bounded size. A block keeps its texts as numbers into its own
 sorted list of word hashes. Statistics go round as packed arrays, never as a row per n-gram:
 a block sends its distinct keys and training counts to hash buckets; a bucket adds them up over
-all blocks and answers each block with arrays in the block's own order. There are three such
-exchanges - words, bigrams, backoff weights of histories - and each answer is a written table
-partitioned by block. A token is then scored recursively: the discounted bigram if it was seen,
-else the history's backoff weight times the discounted unigram. All bigrams count; none is cut.
+all blocks and answers each block with arrays in the block's own order. There are four such
+exchanges - words; bigrams; trigrams and the backoff weights of words; backoff weights of bigrams -
+and each answer is a written table partitioned by block. A token is then scored recursively: the
+discounted n-gram if it was seen, else the history's backoff weight times the shorter history's
+probability. All n-grams count; none is cut.
 
-The model has order two; the README has the measured size of the exchanges for order three.
+A bigram that one block alone holds is the history, or the end, of trigrams that this block alone
+holds, and a bigram that training lacks, of trigrams that training lacks; both are known from
+the answers on bigrams. The block counts such trigrams itself, and only the others are exchanged.
 
-Words and bigrams are known by 64-bit hashes. The model's words are those of the training
+Words, bigrams and trigrams are known by 64-bit hashes. The model's words are those of the training
 texts, the end token, and one class for all others, which has the unigram mass that discounting
-frees; so a history's probabilities over words, end and that class add up to one.
+frees; so a history's probabilities over words, end and that class add up to one. A text's first
+token has the start of a text as its whole history.
 
 Defined cases: null or empty text is the end token alone; a null id is a training document;
 without training texts the model gives each token the probability of the unknown class, 1;
@@ -22,6 +26,7 @@ an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,7 @@ from .storage import written
 from .workers import lean
 
 FOLDS, HELD_FOLD = 5, 1
+ORDER = 3
 #: Counts up to this are discounted.
 KATZ_K = 5
 #: A block is closed beyond so many tokens.
@@ -46,6 +52,8 @@ BLOCK_TOKENS = 2_200_000
 BUCKET_BLOCKS = 2
 #: Hashes that stand for the end token and for the start of a text.
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
+#: A block holds a key first, or alone.
+FIRST, ALONE = 1, 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 ROW = "block bigint, bucket int, kind string, data binary"
@@ -56,6 +64,84 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], names=["block", "bucket", "kind", "data"])
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """What sorts uint64 ``keys``, equal ones by place. Sorts the keys' upper bits with the place
+    in the lower ones, several times as fast as argsort; the rare ties of those are mended after."""
+    bits = np.uint64(max(1, len(keys)).bit_length())
+    mixed = ((keys >> bits) << bits) | np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    now = keys[order]
+    return order if (now[1:] >= now[:-1]).all() else order[np.argsort(now, kind="stable")]
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each value among them) of numbers from 0."""
+    bits = max(1, len(values)).bit_length()
+    if not len(values) or int(values.max()).bit_length() + bits > 64:
+        return np.unique(values, return_inverse=True)
+    mixed = (values.astype(np.uint64) << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64)
+    mixed.sort()
+    source = (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    mixed >>= np.uint64(bits)
+    new = np.concatenate([[True], mixed[1:] != mixed[:-1]])
+    place = np.empty(len(values), np.int32)
+    place[source] = np.cumsum(new) - 1
+    return mixed[new].astype(np.int64), place
+
+
+def _hashed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of 64-bit keys."""
+    with np.errstate(over="ignore"):
+        key = one * _A
+        key = (key ^ (key >> np.uint64(31))) * _B + two
+        key = (key ^ (key >> np.uint64(29))) * _A
+        return key ^ (key >> np.uint64(32))
+
+
+class Pairs:
+    """A block's bigrams in order of their keys: training counts, places of both words; ``at``
+    has the place of each token's bigram."""
+
+    def __init__(self, block: Block) -> None:
+        n = len(block.words)
+        pairs, place = _numbered(block.history * n + block.token)
+        one, two = pairs // n, pairs % n
+        key = _hashed(block.words[one], block.words[two])
+        order = _order(key)
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        count = np.bincount(place[block.in_train], minlength=len(pairs))
+        self.key, self.count, self.one, self.two, self.at = key[order], count[order], one[order], two[order], back[place]
+
+
+class Triples:
+    """A block's trigrams: training counts, places of the first two words' and of the last two
+    words' bigram; ``at`` has the place of each token's trigram, -1 for a text's first token."""
+
+    def __init__(self, block: Block) -> None:
+        pairs, inner = block.pairs, np.ones(len(block.token), bool)
+        inner[block.ends - block.length] = False
+        inner = np.flatnonzero(inner)
+        n = len(block.words)
+        triples, place = _numbered(pairs.at[inner - 1].astype(np.int64) * n + block.token[inner])
+        self.history = triples // n
+        self.lower = np.zeros(len(triples), np.int64)
+        self.lower[place] = pairs.at[inner]
+        self.count = np.bincount(place[block.in_train[inner]], minlength=len(triples))
+        self.at = np.full(len(block.token), -1, np.int32)
+        self.at[inner] = place
+        self.pairs = pairs
+
+    def shared(self, total: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted keys, places) of the trigrams that other blocks may have too, from the answers on bigrams."""
+        open_ = (total > 0) & (owner != ALONE)
+        some = np.flatnonzero(open_[self.history] & open_[self.lower])
+        key = _hashed(self.pairs.key[self.history[some]], self.pairs.key[self.lower[some]])
+        order = _order(key)
+        return key[order], some[order]
+
+
 class Block:
     """The texts of a block: ids, training flags, lengths, and tokens as places in ``words``."""
 
@@ -71,21 +157,13 @@ class Block:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.token[self.in_train], minlength=len(self.words))
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, training counts, history place, word place of each key; key place of each token)."""
-        with np.errstate(over="ignore"):
-            pair = self.history * len(self.words) + self.token
-            pairs, place = np.unique(pair, return_inverse=True)
-            one, two = pairs // len(self.words), pairs % len(self.words)
-            key = self.words[one] * _A
-            key = (key ^ (key >> np.uint64(31))) * _B + self.words[two]
-            key = (key ^ (key >> np.uint64(29))) * _A
-            key ^= key >> np.uint64(32)
-        order = np.argsort(key, kind="stable")
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        count = np.bincount(place[self.in_train], minlength=len(pairs))
-        return key[order], count[order], one[order], two[order], back[place]
+    @cached_property
+    def pairs(self) -> Pairs:
+        return Pairs(self)
+
+    @cached_property
+    def triples(self) -> Triples:
+        return Triples(self)
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,49 +199,81 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(lean(run), ROW), "lm-blocks")
 
 
-def _exchange(asked: DataFrame, answer: Callable, name: str) -> DataFrame:
-    """Written answers of the buckets. ``answer(list of (block, arrays))`` yields rows for a bucket."""
+def _exchange(asked: DataFrame, answers: dict[str, Callable], name: str) -> DataFrame:
+    """Written answers of the buckets. ``answers`` has for each kind of rows a function from the
+    list of (block, arrays) of a bucket to the rows (block, kind, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        now, held = (None, None), []
         for batch in batches:
-            for block, b, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket and held:
-                    yield _rows([(k, bucket, kind, d) for k, kind, d in answer(held)])
+            for block, b, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b, kind) != now and held:
+                    yield _rows([(k, now[0], out, d) for k, out, d in answers[now[1]](held)])
                     held = []
-                bucket = b
+                now = b, kind
                 held.append((block, _unpack(data)))
         if held:
-            yield _rows([(k, bucket, kind, d) for k, kind, d in answer(held)])
+            yield _rows([(k, now[0], out, d) for k, out, d in answers[now[1]](held)])
 
     parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(lean(run), ROW), name)
-
-
-def _summed(held: list, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of each key sent, distinct keys, their totals of a column)."""
-    keys = np.concatenate([a[0] for _, a in held])
-    values = np.concatenate([a[column] for _, a in held])
-    distinct, place = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(distinct), values.dtype if values.dtype.kind == "f" else np.int64)
-    np.add.at(total, place, values)
-    return place, distinct, total
-
-
-def _count_answer(held: list) -> Iterator[tuple]:
-    """To each block the totals of its keys and whether it is the first to hold the key; and statistics."""
-    place, distinct, total = _summed(held, 1)
-    first = np.full(len(distinct), len(place), np.int64)
-    np.minimum.at(first, place, np.arange(len(place)))
-    owner = np.zeros(len(place), np.uint8)
-    owner[first] = 1
-    at = 0
-    for block, arrays in held:
-        n = len(arrays[0])
-        yield block, "answer", _pack(_small(total[place[at : at + n]]), owner[at : at + n])
-        at += n
-    stats = [int((total == c).sum()) for c in range(1, KATZ_K + 2)] + [int((total > 0).sum()), int(total.sum())]
-    yield -1, "stats", np.array(stats, "<i8").tobytes()
+    return written(asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "block").mapInArrow(lean(run), ROW), name)
+
+
+class Sums:
+    """The keys of a bucket's blocks, grouped."""
+
+    def __init__(self, held: list) -> None:
+        self.held = held
+        keys = np.concatenate([a[0] for _, a in held])
+        self.order = _order(keys)
+        keys = keys[self.order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+        self.starts = np.flatnonzero(new)
+        #: Place of each key sent among the distinct ones.
+        self.place = np.empty(len(keys), np.int64)
+        self.place[self.order] = np.cumsum(new) - 1
+
+    def of(self, column: int) -> np.ndarray:
+        """Totals of a column by distinct key."""
+        values = np.concatenate([a[column] for _, a in self.held])[self.order]
+        return np.add.reduceat(values if values.dtype.kind == "f" else values.astype(np.int64), self.starts)
+
+    def owners(self) -> np.ndarray:
+        """For each key sent: FIRST where the block is the first to hold it, ALONE where no other does, else 0."""
+        owner = np.zeros(len(self.place), np.uint8)
+        held_by = np.diff(np.append(self.starts, len(self.place)))
+        owner[self.order[self.starts]] = np.where(held_by == 1, ALONE, FIRST)
+        return owner
+
+    def back(self, kind: str, *columns: np.ndarray) -> Iterator[tuple]:
+        """Columns by key sent, cut by block."""
+        at = 0
+        for block, arrays in self.held:
+            n = len(arrays[0])
+            yield block, kind, _pack(*[c[at : at + n] for c in columns])
+            at += n
+
+
+def _statistics(total: np.ndarray) -> np.ndarray:
+    """n_1 to n_k+1, distinct keys and tokens in training."""
+    return np.array([int((total == c).sum()) for c in range(1, KATZ_K + 2)] + [int((total > 0).sum()), int(total.sum())], np.int64)
+
+
+def _count_answer(kind: str) -> Callable:
+    """To each block the totals of its keys and whether it holds the key first or alone; and statistics."""
+
+    def answer(held: list) -> Iterator[tuple]:
+        sums = Sums(held)
+        total = sums.of(1)
+        yield from sums.back(kind, _small(total[sums.place]), sums.owners())
+        yield -1, "stats", _statistics(total).tobytes()
+
+    return answer
+
+
+def _local_answer(held: list) -> Iterator[tuple]:
+    """Statistics of what blocks have counted themselves."""
+    yield -1, "stats", sum(a[0] for _, a in held).astype(np.int64).tobytes()
 
 
 def _stats(table: DataFrame) -> list[int]:
@@ -197,11 +307,13 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """The driver's few numbers: discounts and totals."""
+    """The driver's few numbers: discounts by order and totals."""
 
-    def __init__(self, words: list[int], bigrams: list[int]) -> None:
+    def __init__(self, words: list[int], *longer: list[int]) -> None:
         self.types, self.tokens = words[KATZ_K + 1], words[KATZ_K + 2]
-        self.word_d, self.pair_d = discounts(words), discounts(bigrams)
+        self.word_d = discounts(words)
+        #: Discounts of bigrams, trigrams.
+        self.ratio = [discounts(n) for n in longer]
         seen = self.tokens - sum((1 - self.word_d[c]) * c * words[c - 1] for c in range(1, KATZ_K + 1))
         self.scale = 1.0
         self.unknown = 1 - seen / self.tokens if self.tokens else 1.0
@@ -215,30 +327,42 @@ class Model:
         known = self.word_d[np.minimum(count, KATZ_K + 1)] * count / max(1, self.tokens) * self.scale
         return np.where(count > 0, known, self.unknown)
 
-    def discounted(self, count: np.ndarray) -> np.ndarray:
+    def discounted(self, count: np.ndarray, order: int = 2) -> np.ndarray:
         count = count.astype(np.int64)
-        return self.pair_d[np.minimum(count, KATZ_K + 1)] * count
+        return self.ratio[order - 2][np.minimum(count, KATZ_K + 1)] * count
 
+    def given(self, order: int, count: np.ndarray, uses: np.ndarray, weight: np.ndarray, scale: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probability of n-grams: discounted if seen, else by the history's weight from the lower order's."""
+        return np.where(count > 0, scale * self.discounted(count, order) / np.maximum(uses, 1), weight * lower)
 
-def _backoff_answer(held: list, discount: np.ndarray) -> Iterator[tuple]:
-    """Backoff weight and scale of each history from its sums over the blocks: its uses, how many
-    of its bigrams occur 1, 2, ... KATZ_K times, and the lower-order mass of all its bigrams. What
-    discounting frees is the sum of (1 - d[c]) c over the former."""
-    place, _, uses = _summed(held, 1)
-    lower = _summed(held, 2)[2]
-    freed = sum((1 - discount[c]) * c * _summed(held, 2 + c)[2] for c in range(1, KATZ_K + 1))
+
+def _rare(history: np.ndarray, total: np.ndarray, n: int) -> list[np.ndarray]:
+    """How many of each history's n-grams occur 1, 2, ... KATZ_K times."""
+    return [np.bincount(history[total == c], minlength=n) for c in range(1, KATZ_K + 1)]
+
+
+def _backoff(uses: np.ndarray, lower: np.ndarray, rare: list[np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backoff weight and scale of each history from its uses, the lower-order mass of its n-grams
+    and how many of them occur 1, 2, ... KATZ_K times. What discounting frees is the sum of
+    (1 - d[c]) c over the latter."""
+    freed = sum((1 - discount[c]) * c * rare[c - 1] for c in range(1, KATZ_K + 1))
     used = uses > 0
     free = np.where(used, freed / np.maximum(uses, 1), 1.0)
     bare = used & (free <= 1e-9)  # all its counts are too large to be discounted
     free = np.where(bare, 1 / (uses + 1.0), free)
-    scale = np.where(bare, 1 - free, 1.0)
-    weight = np.where(used, free / np.maximum(1 - lower, 1e-300), 1.0)
-    at = 0
-    for block, arrays in held:
-        n = len(arrays[0])
-        k = place[at : at + n]
-        yield block, "weights", _pack(weight[k], scale[k], _small(uses[k]))
-        at += n
+    return np.where(used, free / np.maximum(1 - lower, 1e-300), 1.0), np.where(bare, 1 - free, 1.0)
+
+
+def _backoff_answer(kind: str, discount: np.ndarray) -> Callable:
+    """To each block the weights, scales and uses of its histories, from sums over the blocks."""
+
+    def answer(held: list) -> Iterator[tuple]:
+        sums = Sums(held)
+        uses, lower = sums.of(1), sums.of(2)
+        weight, scale = _backoff(uses, lower, [sums.of(2 + c) for c in range(1, KATZ_K + 1)], discount)
+        yield from sums.back(kind, weight[sums.place], scale[sums.place], _small(uses[sums.place]))
+
+    return answer
 
 
 def _by_block(tables: list[DataFrame], parts: int) -> DataFrame:
@@ -262,71 +386,136 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[s
         yield block, held
 
 
-def _joined(parts: list[bytes], column: int) -> np.ndarray:
-    return np.concatenate([_unpack(p)[column] for p in parts])
+class Answers:
+    """A block with what the buckets have answered."""
+
+    def __init__(self, held: dict[str, list[bytes]], model: Model) -> None:
+        self.block, self.model = Block(held["texts"][0]), model
+        self.held = held
+        self.count = self.column("words", 0).astype(np.int64)
+        self.chance = model.word(self.count)
+        self.total, self.owner = self.column("pairs", 0).astype(np.int64), self.column("pairs", 1)
 
+    def column(self, kind: str, k: int) -> np.ndarray:
+        return np.concatenate([_unpack(p)[k] for p in self.held[kind]]) if kind in self.held else np.zeros(0, np.uint8)
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
+    def pair_chance(self) -> np.ndarray:
+        """Probability of each bigram's word after its history."""
+        pairs = self.block.pairs
+        weight, scale, uses = (self.column("weights", k) for k in range(3))
+        return self.model.given(2, self.total, uses.astype(np.int64)[pairs.one], weight[pairs.one], scale[pairs.one], self.chance[pairs.two])
+
+    def triple_totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training count of each trigram over all blocks, and whether this block answers for it."""
+        triples = self.block.triples
+        total, own = triples.count.copy(), np.ones(len(triples.count), bool)
+        _, some = triples.shared(self.total, self.owner)
+        total[some], own[some] = self.column("triples", 0), self.column("triples", 1) > 0
+        return total, own & (total > 0)
+
+    def pair_sums(self, chance: np.ndarray, total: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Lower-order mass and rare counts of the bigrams as histories, as far as this block answers for them."""
+        triples, n = self.block.triples, len(self.total)
+        history = triples.history[own]
+        return np.bincount(history, weights=chance[triples.lower[own]], minlength=n), _rare(history, total[own], n)
+
+    def open_pairs(self) -> np.ndarray:
+        """Places of bigrams that other blocks may have as histories too."""
+        return np.flatnonzero((self.total > 0) & (self.owner != ALONE))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
+
+    ``order`` is the longest n-gram: 2 or 3.
+    """
+    if order not in (2, 3):
+        raise ValueError(f"the order must be 2 or 3, not {order}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = _blocks(docs, id_col, text_col)
     # A task holds one bucket at a time, so buckets follow the number of blocks, not the number of partitions.
     buckets = max(parts, -(-blocks.count() // BUCKET_BLOCKS))
 
-    def sliced(block: int, keys: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    def sliced(block: int, kind: str, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
         at = _bounds(keys, buckets)
-        return [(block, k, "asked", _pack(keys[at[k] : at[k + 1]], *[c[at[k] : at[k + 1]] for c in columns])) for k in range(buckets) if at[k + 1] > at[k]]
+        return [(block, k, kind, _pack(keys[at[k] : at[k + 1]], *[c[at[k] : at[k + 1]] for c in columns])) for k in range(buckets) if at[k + 1] > at[k]]
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _each_block(batches):
             b = Block(held["texts"][0])
-            yield _rows(sliced(block, b.words, [_small(b.word_counts())]))
+            yield _rows(sliced(block, "words", b.words, _small(b.word_counts())))
 
-    def ask_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _each_block(batches):
-            keys, counts, *_ = Block(held["texts"][0]).bigrams()
-            yield _rows(sliced(block, keys, [_small(counts)]))
+            pairs = Block(held["texts"][0]).pairs
+            yield _rows(sliced(block, "pairs", pairs.key, _small(pairs.count)))
 
-    words = _exchange(blocks.mapInArrow(lean(ask_words), ROW), _count_answer, "lm-words")
-    pairs = _exchange(blocks.mapInArrow(lean(ask_bigrams), ROW), _count_answer, "lm-bigrams")
+    words = _exchange(blocks.mapInArrow(lean(ask_words), ROW), {"words": _count_answer("words")}, "lm-words")
+    pairs = _exchange(blocks.mapInArrow(lean(ask_pairs), ROW), {"pairs": _count_answer("pairs")}, "lm-bigrams")
     model = Model(_stats(words), _stats(pairs))
-    as_kind = lambda t, kind: t.where("kind = 'answer'").withColumn("kind", F.lit(kind))
-    words, pairs = as_kind(words, "words"), as_kind(pairs, "pairs")
 
-    def ask_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of words as histories, and counts of trigrams."""
         for block, held in _each_block(batches):
-            b = Block(held["texts"][0])
-            keys, local, one, two, _ = b.bigrams()
-            total, owner = _joined(held["pairs"], 0), _joined(held["pairs"], 1)
-            chance = model.word(_joined(held["words"], 0))
-            own = (owner == 1) & (total > 0)
-            n = len(b.words)
-            uses = np.bincount(one, weights=local, minlength=n).astype(np.int64)
-            lower = np.bincount(one[own], weights=chance[two[own]], minlength=n)
-            rare = [_small(np.bincount(one[own & (total == c)], minlength=n)) for c in range(1, KATZ_K + 1)]
-            yield _rows(sliced(block, b.words, [_small(uses), lower, *rare]))
-
-    weights = _exchange(_by_block([blocks, words, pairs], parts).mapInArrow(lean(ask_weights), ROW), lambda held: _backoff_answer(held, model.pair_d), "lm-weights")
+            a = Answers(held, model)
+            b, n = a.block, len(a.block.words)
+            own = (a.owner > 0) & (a.total > 0)
+            one, two = b.pairs.one, b.pairs.two
+            uses = np.bincount(one, weights=b.pairs.count, minlength=n).astype(np.int64)
+            lower = np.bincount(one[own], weights=a.chance[two[own]], minlength=n)
+            yield _rows(sliced(block, "weights", b.words, _small(uses), lower, *map(_small, _rare(one[own], a.total[own], n))))
+            if order == 3:
+                keys, some = b.triples.shared(a.total, a.owner)
+                yield _rows(sliced(block, "triples", keys, _small(b.triples.count[some])))
+                local = np.ones(len(b.triples.count), bool)
+                local[some] = False
+                yield _rows([(block, block % buckets, "local", _pack(_statistics(b.triples.count[local])))])
+
+    answers = {"weights": _backoff_answer("weights", model.ratio[0]), "triples": _count_answer("triples"), "local": _local_answer}
+    tables = [blocks, words, pairs]
+    tables.append(_exchange(_by_block(tables, parts).mapInArrow(lean(ask_more), ROW), answers, "lm-trigrams"))
+    if order == 3:
+        model.ratio.append(discounts(_stats(tables[-1])))
+
+        def ask_pair_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, held in _each_block(batches):
+                a = Answers(held, model)
+                lower, rare = a.pair_sums(a.pair_chance(), *a.triple_totals())
+                some = a.open_pairs()
+                # The count of a bigram is its uses as a history; only the block that answers for it sends it.
+                uses = np.where(a.owner[some] > 0, a.total[some], 0)
+                yield _rows(sliced(block, "pair_weights", a.block.pairs.key[some], _small(uses), lower[some], *[_small(r[some]) for r in rare]))
+
+        asked = _by_block(tables, parts).mapInArrow(lean(ask_pair_weights), ROW)
+        tables.append(_exchange(asked, {"pair_weights": _backoff_answer("pair_weights", model.ratio[1])}, "lm-weights"))
+
+    def chances(a: Answers) -> np.ndarray:
+        """Probability of each token."""
+        chance, b = a.pair_chance(), a.block
+        if order == 2:
+            return chance[b.pairs.at]
+        total, own = a.triple_totals()
+        weight, scale = _backoff(a.total, *a.pair_sums(chance, total, own), model.ratio[1])
+        some = a.open_pairs()
+        weight[some], scale[some] = a.column("pair_weights", 0), a.column("pair_weights", 1)
+        t = b.triples
+        longer = model.given(3, total, a.total[t.history], weight[t.history], scale[t.history], chance[t.lower])
+        return np.where(t.at >= 0, np.append(longer, 0.0)[t.at], chance[b.pairs.at])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _each_block(batches):
-            b = Block(held["texts"][0])
-            _, _, one, two, place = b.bigrams()
-            total, count = _joined(held["pairs"], 0).astype(np.int64), _joined(held["words"], 0).astype(np.int64)
-            weight, scale, uses = (_joined(held["weights"], k) for k in range(3))
-            chance = model.word(count)
-            with np.errstate(divide="ignore"):
-                seen = scale[one] * model.discounted(total) / np.maximum(uses[one].astype(np.int64), 1)
-                log = np.log10(np.where(total > 0, seen, weight[one] * chance[two]))
+            a = Answers(held, model)
+            b, count = a.block, a.count
+            log = np.log10(chances(a))
             base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
             starts = b.ends - b.length
             known = np.add.reduceat((count > 0)[b.token].astype(np.int64), starts)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(b.doc, pa.int64(), mask=b.null.astype(bool)), "held_out": pa.array(~b.train.astype(bool)),
                 "n_tokens": pa.array(b.length, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(b.doc), model.tokens), pa.int64()),
-                "base_score": pa.array(np.add.reduceat(base[b.token], starts)), "score": pa.array(np.add.reduceat(log[place], starts)),
+                "base_score": pa.array(np.add.reduceat(base[b.token], starts)), "score": pa.array(np.add.reduceat(log, starts)),
             })
 
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _by_block([blocks, words, pairs, weights], parts).mapInArrow(lean(judge), out)
+    return _by_block(tables, parts).mapInArrow(lean(judge), out)

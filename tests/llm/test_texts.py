@@ -270,35 +270,39 @@ def test_license_scan_misses_no_short_notice(spark):
 
 
 class Katz:
-    """A plain dictionary version of the model."""
+    """A plain dictionary version of the model: probabilities of a word after up to two words."""
 
-    def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
+    def __init__(self, texts, order):
+        self.grams = [Counter() for _ in range(order)]
         for t in texts:
-            w = [*t, "</s>"]
-            self.words.update(w)
-            self.pairs.update(zip(["<s>", *w], w, strict=False))
+            w = ["<s>", *t, "</s>"]
+            self.grams[0].update((x,) for x in w[1:])
+            for n in range(2, order + 1):
+                self.grams[n - 1].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
         count_of = lambda c: [sum(v == k for v in c.values()) for k in range(1, katz_lm.KATZ_K + 2)]
         totals = lambda c: [*count_of(c), len(c), sum(c.values())]
-        self.model = katz_lm.Model(totals(self.words), totals(self.pairs))
-        self.uses = Counter()
-        for (a, _), n in self.pairs.items():
-            self.uses[a] += n
-
-    def word(self, w):
-        return float(self.model.word(np.array([self.words[w]]))[0])
-
-    def given(self, a, w):
-        if not self.uses[a]:
-            return self.word(w)
-        mine = {x: float(self.model.discounted(np.array([n]))[0]) for (h, x), n in self.pairs.items() if h == a}
-        free, scale = 1 - sum(mine.values()) / self.uses[a], 1.0
+        self.model = katz_lm.Model(*map(totals, self.grams))
+        self.after = {}
+        for c in self.grams[1:]:
+            for gram, n in c.items():
+                self.after.setdefault(gram[:-1], {})[gram[-1]] = n
+
+    def given(self, history, w):
+        history = history[-len(self.grams) + 1 :] if len(self.grams) > 1 else ()
+        if not history:
+            return float(self.model.word(np.array([self.grams[0][w,]]))[0])
+        seen = self.after.get(history)
+        if not seen:
+            return self.given(history[1:], w)
+        uses = sum(seen.values())
+        mine = {x: float(self.model.discounted(np.array([n]), len(history) + 1)[0]) for x, n in seen.items()}
+        free, scale = 1 - sum(mine.values()) / uses, 1.0
         if free <= 1e-9:
-            free = 1 / (self.uses[a] + 1)
+            free = 1 / (uses + 1)
             scale = 1 - free
         if w in mine:
-            return scale * mine[w] / self.uses[a]
-        return free / (1 - sum(self.word(x) for x in mine)) * self.word(w)
+            return scale * mine[w] / uses
+        return free / (1 - sum(self.given(history[1:], x) for x in mine)) * self.given(history[1:], w)
 
 
 def lm_texts():
@@ -314,26 +318,45 @@ def lm_texts():
     return texts
 
 
-@pytest.mark.parametrize("size", [2_000_000, 50])
-def test_katz_scores(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "order"), [(2_000_000, 3), (50, 3), (7, 3), (50, 2)])
+def test_katz_scores(spark, monkeypatch, size, order):
     monkeypatch.setattr(katz_lm, "BLOCK_TOKENS", size)
     texts = lm_texts()
     split = [WORD.findall(low(t or "")) for t in texts]
     held = [zlib.crc32(str(d).encode()) % 5 == 1 for d in range(len(texts))]
-    plain = Katz([w for w, h in zip(split, held, strict=True) if not h])
-    n, v = sum(plain.words.values()), len(plain.words)
-    got = {r.doc_id: r for r in katz_lm.score(frame(spark, texts)).collect()}
+    plain = Katz([w for w, h in zip(split, held, strict=True) if not h], order)
+    known = plain.grams[0]
+    n, v = sum(known.values()), len(known)
+    got = {r.doc_id: r for r in katz_lm.score(frame(spark, texts), order=order).collect()}
     for d, w in enumerate(split):
         r, w = got[d], [*w, "</s>"]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(w), sum(plain.words[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((plain.words[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(plain.given(a, x)) for a, x in zip(["<s>", *w], w, strict=False)))
-    for a in ["<s>", "w0", "w3", "a", "nowhere"]:
-        assert sum(plain.given(a, x) for x in plain.words) + plain.given(a, "unknown") == pytest.approx(1)
+        before = ["<s>", *w]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(w), sum(known[x,] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((known[x,] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(plain.given(tuple(before[max(0, k - 1) : k + 1]), x)) for k, x in enumerate(w)))
+    for h in [("<s>",), ("<s>", "w0"), ("w0",), ("w3", "w9"), ("a", "a"), ("w1", "nowhere"), ("nowhere",)]:
+        assert sum(plain.given(h, x) for (x,) in known) + plain.given(h, "unknown") == pytest.approx(1)
     mine = [r for d, r in got.items() if held[d]]
     assert sum(r.score for r in mine) > sum(r.base_score for r in mine)
 
 
+def test_katz_orders(spark):
+    with pytest.raises(ValueError, match="order"):
+        katz_lm.score(frame(spark, ["a b"]), order=4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_sorting_by_packed_places(n):
+    rng = np.random.default_rng(n)
+    keys = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+    keys[: n // 2] = (keys[: n // 2] & np.uint64(3)) + (keys[n // 2 : n // 2 * 2] >> np.uint64(20) << np.uint64(20))
+    keys = np.append(keys, keys[::3])
+    assert (katz_lm._order(keys) == np.argsort(keys, kind="stable")).all()
+    for values in (keys[::2].astype(np.int64) >> 40, keys.astype(np.int64) >> 1):
+        for mine, theirs in zip(katz_lm._numbered(values), np.unique(values, return_inverse=True), strict=True):
+            assert (mine == theirs).all()
+
+
 def test_katz_on_odd_tables(spark):
     schema = "doc_id bigint, text string, score int"
     assert katz_lm.score(spark.createDataFrame([], schema)).count() == 0
