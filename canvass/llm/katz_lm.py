@@ -12,6 +12,8 @@ probability. All n-grams count; none is cut.
 A bigram that one block alone holds is the history, or the end, of trigrams that this block alone
 holds, and a bigram that training lacks, of trigrams that training lacks; both are known from
 the answers on bigrams. The block counts such trigrams itself, and only the others are exchanged.
+Backoff weights go back only to blocks that score an n-gram by them, which those of training
+texts never are; histories go by their number in the bucket, which its first answer told.
 
 Words, bigrams and trigrams are known by 64-bit hashes. The model's words are those of the training
 texts, the end token, and one class for all others, which has the unigram mass that discounting
@@ -46,6 +48,8 @@ FOLDS, HELD_FOLD = 5, 1
 ORDER = 3
 #: Counts up to this are discounted.
 KATZ_K = 5
+#: A history that frees no larger share is bare: it takes one use more, which backs off.
+BARE = 1e-9
 #: A block is closed beyond so many tokens.
 BLOCK_TOKENS = 2_200_000
 #: A bucket gets about as many keys as so many blocks have.
@@ -67,10 +71,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _order(keys: np.ndarray) -> np.ndarray:
     """What sorts uint64 ``keys``, equal ones by place. Sorts the keys' upper bits with the place
     in the lower ones, several times as fast as argsort; the rare ties of those are mended after."""
-    bits = np.uint64(max(1, len(keys)).bit_length())
-    mixed = ((keys >> bits) << bits) | np.arange(len(keys), dtype=np.uint64)
+    bits = max(1, len(keys)).bit_length()
+    drop = max(0, int(keys.max()).bit_length() + bits - 64) if len(keys) else 0
+    mixed = ((keys >> np.uint64(drop)) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
     mixed.sort()
-    order = (mixed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    order = (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
     now = keys[order]
     return order if (now[1:] >= now[:-1]).all() else order[np.argsort(now, kind="stable")]
 
@@ -99,6 +104,11 @@ def _hashed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return key ^ (key >> np.uint64(32))
 
 
+def _by_count(often: np.ndarray) -> np.ndarray:
+    """Places from the most frequent word to the least. Texts are stored as ranks, which pack better than places."""
+    return np.argsort(-often.astype(np.int64), kind="stable").astype(np.int32)
+
+
 class Pairs:
     """A block's bigrams in order of their keys: training counts, places of both words; ``at``
     has the place of each token's bigram."""
@@ -146,7 +156,8 @@ class Block:
     """The texts of a block: ids, training flags, lengths, and tokens as places in ``words``."""
 
     def __init__(self, data: bytes) -> None:
-        self.doc, self.null, self.train, self.length, self.token, self.words = _unpack(data)
+        self.doc, self.null, self.train, self.length, rank, often, self.words = _unpack(data)
+        self.token = _by_count(often)[rank]
         self.ends = np.cumsum(self.length)
         starts = self.ends - self.length
         #: Place of each token's history; BEGIN is in every block's words.
@@ -177,7 +188,11 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = np.unique(np.append(tokens, [BEGIN]))
             doc, null, train = (np.array([m[k] for m in meta], t) for k, t in ((0, np.int64), (1, np.uint8), (2, np.uint8)))
             length = np.array([len(h) for h in hashes], np.int64)
-            return _rows([(part * (1 << 24) + number, 0, "texts", _pack(doc, null, train, length, np.searchsorted(words, tokens).astype(np.int32), words))])
+            token = np.searchsorted(words, tokens).astype(np.int32)
+            often = _small(np.bincount(token, minlength=len(words)))
+            rank = np.empty(len(words), np.int32)
+            rank[_by_count(often)] = np.arange(len(words), dtype=np.int32)
+            return _rows([(part * (1 << 24) + number, 0, "texts", _pack(doc, null, train, length, rank[token], often, words))])
 
         for batch in batches:
             for doc, held, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -233,6 +248,10 @@ class Sums:
         self.place = np.empty(len(keys), np.int64)
         self.place[self.order] = np.cumsum(new) - 1
 
+    def first(self, column: int) -> np.ndarray:
+        """A column that is the same in all blocks, by distinct key."""
+        return np.concatenate([a[column] for _, a in self.held])[self.order[self.starts]].astype(np.int64)
+
     def of(self, column: int) -> np.ndarray:
         """Totals of a column by distinct key."""
         values = np.concatenate([a[column] for _, a in self.held])[self.order]
@@ -245,13 +264,11 @@ class Sums:
         owner[self.order[self.starts]] = np.where(held_by == 1, ALONE, FIRST)
         return owner
 
-    def back(self, kind: str, *columns: np.ndarray) -> Iterator[tuple]:
-        """Columns by key sent, cut by block."""
+    def blocks(self) -> Iterator[tuple]:
+        """(block, its arrays, the range of its keys among those sent)."""
         at = 0
         for block, arrays in self.held:
-            n = len(arrays[0])
-            yield block, kind, _pack(*[c[at : at + n] for c in columns])
-            at += n
+            yield block, arrays, slice(at, at := at + len(arrays[0]))
 
 
 def _statistics(total: np.ndarray) -> np.ndarray:
@@ -260,12 +277,16 @@ def _statistics(total: np.ndarray) -> np.ndarray:
 
 
 def _count_answer(kind: str) -> Callable:
-    """To each block the totals of its keys and whether it holds the key first or alone; and statistics."""
+    """To each block the totals of its keys, whether it holds the key first or alone, and the
+    numbers in the bucket of those that it doesn't hold alone; and statistics."""
 
     def answer(held: list) -> Iterator[tuple]:
         sums = Sums(held)
         total = sums.of(1)
-        yield from sums.back(kind, _small(total[sums.place]), sums.owners())
+        owners = sums.owners()
+        for block, _, mine in sums.blocks():
+            place, owner = sums.place[mine], owners[mine]
+            yield block, kind, _pack(_small(total[place]), owner, place[owner != ALONE].astype(np.uint64))
         yield -1, "stats", _statistics(total).tobytes()
 
     return answer
@@ -341,30 +362,66 @@ def _rare(history: np.ndarray, total: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.bincount(history[total == c], minlength=n) for c in range(1, KATZ_K + 1)]
 
 
+def _freed(rare: list[np.ndarray], discount: np.ndarray) -> np.ndarray:
+    """What discounting frees: the sum of (1 - d[c]) c over the n-grams of each history."""
+    return sum((1 - discount[c]) * c * rare[c - 1] for c in range(1, KATZ_K + 1))
+
+
 def _backoff(uses: np.ndarray, lower: np.ndarray, rare: list[np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Backoff weight and scale of each history from its uses, the lower-order mass of its n-grams
-    and how many of them occur 1, 2, ... KATZ_K times. What discounting frees is the sum of
-    (1 - d[c]) c over the latter."""
-    freed = sum((1 - discount[c]) * c * rare[c - 1] for c in range(1, KATZ_K + 1))
+    and how many of them occur 1, 2, ... KATZ_K times."""
     used = uses > 0
-    free = np.where(used, freed / np.maximum(uses, 1), 1.0)
-    bare = used & (free <= 1e-9)  # all its counts are too large to be discounted
+    free = np.where(used, _freed(rare, discount) / np.maximum(uses, 1), 1.0)
+    bare = used & (free <= BARE)  # all its counts are too large to be discounted
     free = np.where(bare, 1 / (uses + 1.0), free)
     return np.where(used, free / np.maximum(1 - lower, 1e-300), 1.0), np.where(bare, 1 - free, 1.0)
 
 
 def _backoff_answer(kind: str, discount: np.ndarray) -> Callable:
-    """To each block the weights, scales and uses of its histories, from sums over the blocks."""
+    """To each block the weights and scales of the histories that it needs, from sums over the blocks."""
 
     def answer(held: list) -> Iterator[tuple]:
         sums = Sums(held)
-        uses, lower = sums.of(1), sums.of(2)
-        weight, scale = _backoff(uses, lower, [sums.of(2 + c) for c in range(1, KATZ_K + 1)], discount)
-        yield from sums.back(kind, weight[sums.place], scale[sums.place], _small(uses[sums.place]))
+        weight, scale = _backoff(sums.first(1), sums.of(3), [sums.of(3 + c) for c in range(1, KATZ_K + 1)], discount)
+        for block, arrays, mine in sums.blocks():
+            needed = sums.place[mine][arrays[2] > 0]
+            yield block, kind, _pack(weight[needed], scale[needed])
 
     return answer
 
 
+class Histories:
+    """A block's histories of one length: what it adds to their sums, and whose weights it needs."""
+
+    def __init__(self, history: np.ndarray, total: np.ndarray, own: np.ndarray, lower: np.ndarray, uses: np.ndarray, owner: np.ndarray, discount: np.ndarray) -> None:
+        """For each n-gram its history, total, whether this block answers for it, and its lower-order
+        probability; for each history its uses and whether the block holds it first or alone."""
+        n = len(uses)
+        self.uses, self.discount = uses, discount
+        self.lower = np.bincount(history[own], weights=lower[own], minlength=n)
+        self.rare = _rare(history[own], total[own], n)
+        unseen = np.bincount(history[total == 0], minlength=n) > 0
+        # One n-gram here that frees enough proves that its history isn't bare.
+        perhaps_bare = (np.bincount(history, minlength=n) > 0) & (_freed(_rare(history, total, n), discount) <= 10 * BARE * uses)
+        need = (unseen | perhaps_bare) & (uses > 0)
+        #: Histories that other blocks have too; of these, whether they are sent, and whether needed.
+        self.open = np.flatnonzero(owner != ALONE)
+        self.need = need[self.open]
+        self.send = self.need | (np.bincount(history[own], minlength=n) > 0)[self.open]
+
+    def columns(self) -> list[np.ndarray]:
+        """What is sent, beside the histories' numbers."""
+        some = self.open[self.send]
+        return [_small(self.uses[some]), self.need[self.send].astype(np.uint8), self.lower[some], *[_small(r[some]) for r in self.rare]]
+
+    def weights(self, weight: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and scale of each history: answered if needed and open, else by the block's own sums."""
+        weights, scales = _backoff(self.uses, self.lower, self.rare, self.discount)
+        weights[self.open] = scales[self.open] = 1.0  # where neither is needed, no n-gram is scored by them
+        weights[self.open[self.need]], scales[self.open[self.need]] = weight, scale
+        return weights, scales
+
+
 def _by_block(tables: list[DataFrame], parts: int) -> DataFrame:
     """All rows of a block together: its texts first, then the answers by bucket."""
     union = tables[0]
@@ -391,20 +448,30 @@ class Answers:
 
     def __init__(self, held: dict[str, list[bytes]], model: Model) -> None:
         self.block, self.model = Block(held["texts"][0]), model
-        self.held = held
+        self.held = {kind: [_unpack(p) for p in parts] for kind, parts in held.items() if kind != "texts"}
         self.count = self.column("words", 0).astype(np.int64)
         self.chance = model.word(self.count)
         self.total, self.owner = self.column("pairs", 0).astype(np.int64), self.column("pairs", 1)
 
     def column(self, kind: str, k: int) -> np.ndarray:
-        return np.concatenate([_unpack(p)[k] for p in self.held[kind]]) if kind in self.held else np.zeros(0, np.uint8)
+        return np.concatenate([p[k] for p in self.held[kind]]) if kind in self.held else np.zeros(0, np.uint8)
+
+    @cached_property
+    def words(self) -> Histories:
+        pairs, words = self.block.pairs, self.block.words
+        uses = self.count.copy()
+        uses[np.searchsorted(words, BEGIN)] = self.count[np.searchsorted(words, END)]  # a start for each end
+        own = (self.owner > 0) & (self.total > 0)
+        return Histories(pairs.one, self.total, own, self.chance[pairs.two], uses, self.column("words", 1), self.model.ratio[0])
 
+    @cached_property
     def pair_chance(self) -> np.ndarray:
         """Probability of each bigram's word after its history."""
-        pairs = self.block.pairs
-        weight, scale, uses = (self.column("weights", k) for k in range(3))
-        return self.model.given(2, self.total, uses.astype(np.int64)[pairs.one], weight[pairs.one], scale[pairs.one], self.chance[pairs.two])
+        pairs, words = self.block.pairs, self.words
+        weight, scale = words.weights(self.column("weights", 0), self.column("weights", 1))
+        return self.model.given(2, self.total, words.uses[pairs.one], weight[pairs.one], scale[pairs.one], self.chance[pairs.two])
 
+    @cached_property
     def triple_totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Training count of each trigram over all blocks, and whether this block answers for it."""
         triples = self.block.triples
@@ -413,15 +480,20 @@ class Answers:
         total[some], own[some] = self.column("triples", 0), self.column("triples", 1) > 0
         return total, own & (total > 0)
 
-    def pair_sums(self, chance: np.ndarray, total: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Lower-order mass and rare counts of the bigrams as histories, as far as this block answers for them."""
-        triples, n = self.block.triples, len(self.total)
-        history = triples.history[own]
-        return np.bincount(history, weights=chance[triples.lower[own]], minlength=n), _rare(history, total[own], n)
+    @cached_property
+    def pairs(self) -> Histories:
+        """Bigrams as histories; each use of one is an occurrence."""
+        triples = self.block.triples
+        return Histories(triples.history, *self.triple_totals, self.pair_chance[triples.lower], self.total, self.owner, self.model.ratio[1])
 
-    def open_pairs(self) -> np.ndarray:
-        """Places of bigrams that other blocks may have as histories too."""
-        return np.flatnonzero((self.total > 0) & (self.owner != ALONE))
+    def token_chance(self, order: int) -> np.ndarray:
+        at, chance = self.block.pairs.at, self.pair_chance
+        if order == 2:
+            return chance[at]
+        t = self.block.triples
+        weight, scale = self.pairs.weights(self.column("pair_weights", 0), self.column("pair_weights", 1))
+        longer = self.model.given(3, self.triple_totals[0], self.total[t.history], weight[t.history], scale[t.history], chance[t.lower])
+        return np.where(t.at >= 0, np.append(longer, 0.0)[t.at], chance[at])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -439,17 +511,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def sliced(block: int, kind: str, keys: np.ndarray, *columns: np.ndarray) -> list[tuple]:
         at = _bounds(keys, buckets)
-        return [(block, k, kind, _pack(keys[at[k] : at[k + 1]], *[c[at[k] : at[k + 1]] for c in columns])) for k in range(buckets) if at[k + 1] > at[k]]
+        return [(block, k, kind, _pack(*[c[at[k] : at[k + 1]] for c in columns])) for k in range(buckets) if at[k + 1] > at[k]]
+
+    def asked(block: int, kind: str, keys: np.ndarray, numbers: np.ndarray, histories: Histories) -> list[tuple]:
+        return sliced(block, kind, keys[histories.open[histories.send]], numbers[histories.send], *histories.columns())
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _each_block(batches):
             b = Block(held["texts"][0])
-            yield _rows(sliced(block, "words", b.words, _small(b.word_counts())))
+            yield _rows(sliced(block, "words", b.words, b.words, _small(b.word_counts())))
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in _each_block(batches):
             pairs = Block(held["texts"][0]).pairs
-            yield _rows(sliced(block, "pairs", pairs.key, _small(pairs.count)))
+            yield _rows(sliced(block, "pairs", pairs.key, pairs.key, _small(pairs.count)))
 
     words = _exchange(blocks.mapInArrow(lean(ask_words), ROW), {"words": _count_answer("words")}, "lm-words")
     pairs = _exchange(blocks.mapInArrow(lean(ask_pairs), ROW), {"pairs": _count_answer("pairs")}, "lm-bigrams")
@@ -459,15 +534,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         """Sums of words as histories, and counts of trigrams."""
         for block, held in _each_block(batches):
             a = Answers(held, model)
-            b, n = a.block, len(a.block.words)
-            own = (a.owner > 0) & (a.total > 0)
-            one, two = b.pairs.one, b.pairs.two
-            uses = np.bincount(one, weights=b.pairs.count, minlength=n).astype(np.int64)
-            lower = np.bincount(one[own], weights=a.chance[two[own]], minlength=n)
-            yield _rows(sliced(block, "weights", b.words, _small(uses), lower, *map(_small, _rare(one[own], a.total[own], n))))
+            b = a.block
+            yield _rows(asked(block, "weights", b.words, a.column("words", 2), a.words))
             if order == 3:
                 keys, some = b.triples.shared(a.total, a.owner)
-                yield _rows(sliced(block, "triples", keys, _small(b.triples.count[some])))
+                yield _rows(sliced(block, "triples", keys, keys, _small(b.triples.count[some])))
                 local = np.ones(len(b.triples.count), bool)
                 local[some] = False
                 yield _rows([(block, block % buckets, "local", _pack(_statistics(b.triples.count[local])))])
@@ -481,33 +552,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         def ask_pair_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, held in _each_block(batches):
                 a = Answers(held, model)
-                lower, rare = a.pair_sums(a.pair_chance(), *a.triple_totals())
-                some = a.open_pairs()
-                # The count of a bigram is its uses as a history; only the block that answers for it sends it.
-                uses = np.where(a.owner[some] > 0, a.total[some], 0)
-                yield _rows(sliced(block, "pair_weights", a.block.pairs.key[some], _small(uses), lower[some], *[_small(r[some]) for r in rare]))
-
-        asked = _by_block(tables, parts).mapInArrow(lean(ask_pair_weights), ROW)
-        tables.append(_exchange(asked, {"pair_weights": _backoff_answer("pair_weights", model.ratio[1])}, "lm-weights"))
-
-    def chances(a: Answers) -> np.ndarray:
-        """Probability of each token."""
-        chance, b = a.pair_chance(), a.block
-        if order == 2:
-            return chance[b.pairs.at]
-        total, own = a.triple_totals()
-        weight, scale = _backoff(a.total, *a.pair_sums(chance, total, own), model.ratio[1])
-        some = a.open_pairs()
-        weight[some], scale[some] = a.column("pair_weights", 0), a.column("pair_weights", 1)
-        t = b.triples
-        longer = model.given(3, total, a.total[t.history], weight[t.history], scale[t.history], chance[t.lower])
-        return np.where(t.at >= 0, np.append(longer, 0.0)[t.at], chance[b.pairs.at])
+                yield _rows(asked(block, "pair_weights", a.block.pairs.key, a.column("pairs", 2), a.pairs))
+
+        sums = _by_block(tables, parts).mapInArrow(lean(ask_pair_weights), ROW)
+        tables.append(_exchange(sums, {"pair_weights": _backoff_answer("pair_weights", model.ratio[1])}, "lm-weights"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _each_block(batches):
             a = Answers(held, model)
             b, count = a.block, a.count
-            log = np.log10(chances(a))
+            log = np.log10(a.token_chance(order))
             base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
             starts = b.ends - b.length
             known = np.add.reduceat((count > 0)[b.token].astype(np.int64), starts)
