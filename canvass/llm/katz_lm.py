@@ -115,13 +115,13 @@ class Pairs:
 
     def __init__(self, block: Block) -> None:
         n = len(block.words)
-        pairs, place = _numbered(block.history * n + block.token)
-        one, two = pairs // n, pairs % n
+        pairs, place = _numbered(block.history.astype(np.int64) * n + block.token)
+        one, two = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
         key = _hashed(block.words[one], block.words[two])
         order = _order(key)
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
-        count = np.bincount(place[block.in_train], minlength=len(pairs))
+        count = _small(np.bincount(place[block.in_train], minlength=len(pairs)))
         self.key, self.count, self.one, self.two, self.at = key[order], count[order], one[order], two[order], back[place]
 
 
@@ -135,10 +135,10 @@ class Triples:
         inner = np.flatnonzero(inner)
         n = len(block.words)
         triples, place = _numbered(pairs.at[inner - 1].astype(np.int64) * n + block.token[inner])
-        self.history = triples // n
-        self.lower = np.zeros(len(triples), np.int64)
+        self.history = (triples // n).astype(np.int32)
+        self.lower = np.zeros(len(triples), np.int32)
         self.lower[place] = pairs.at[inner]
-        self.count = np.bincount(place[block.in_train[inner]], minlength=len(triples))
+        self.count = _small(np.bincount(place[block.in_train[inner]], minlength=len(triples)))
         self.at = np.full(len(block.token), -1, np.int32)
         self.at[inner] = place
         self.pairs = pairs
@@ -161,7 +161,7 @@ class Block:
         self.ends = np.cumsum(self.length)
         starts = self.ends - self.length
         #: Place of each token's history; BEGIN is in every block's words.
-        self.history = np.concatenate([[0], self.token[:-1]]).astype(np.int64)
+        self.history = np.concatenate([[0], self.token[:-1]]).astype(np.int32)
         self.history[starts] = int(np.searchsorted(self.words, BEGIN))
         self.in_train = np.repeat(self.train.astype(bool), self.length)
 
@@ -276,9 +276,9 @@ def _statistics(total: np.ndarray) -> np.ndarray:
     return np.array([int((total == c).sum()) for c in range(1, KATZ_K + 2)] + [int((total > 0).sum()), int(total.sum())], np.int64)
 
 
-def _count_answer(kind: str) -> Callable:
-    """To each block the totals of its keys, whether it holds the key first or alone, and the
-    numbers in the bucket of those that it doesn't hold alone; and statistics."""
+def _count_answer(kind: str, numbered: bool = True) -> Callable:
+    """To each block the totals of its keys, whether it holds the key first or alone, and, in rows
+    of their own, the numbers in the bucket of those that it doesn't hold alone; and statistics."""
 
     def answer(held: list) -> Iterator[tuple]:
         sums = Sums(held)
@@ -286,7 +286,9 @@ def _count_answer(kind: str) -> Callable:
         owners = sums.owners()
         for block, _, mine in sums.blocks():
             place, owner = sums.place[mine], owners[mine]
-            yield block, kind, _pack(_small(total[place]), owner, place[owner != ALONE].astype(np.uint64))
+            yield block, kind, _pack(_small(total[place]), owner)
+            if numbered:
+                yield block, f"{kind}_numbers", _pack(place[owner != ALONE].astype(np.uint64))
         yield -1, "stats", _statistics(total).tobytes()
 
     return answer
@@ -359,12 +361,12 @@ class Model:
 
 def _rare(history: np.ndarray, total: np.ndarray, n: int) -> list[np.ndarray]:
     """How many of each history's n-grams occur 1, 2, ... KATZ_K times."""
-    return [np.bincount(history[total == c], minlength=n) for c in range(1, KATZ_K + 1)]
+    return [_small(np.bincount(history[total == c], minlength=n)) for c in range(1, KATZ_K + 1)]
 
 
 def _freed(rare: list[np.ndarray], discount: np.ndarray) -> np.ndarray:
     """What discounting frees: the sum of (1 - d[c]) c over the n-grams of each history."""
-    return sum((1 - discount[c]) * c * rare[c - 1] for c in range(1, KATZ_K + 1))
+    return sum(float((1 - discount[c]) * c) * rare[c - 1].astype(np.float64) for c in range(1, KATZ_K + 1))
 
 
 def _backoff(uses: np.ndarray, lower: np.ndarray, rare: list[np.ndarray], discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +414,7 @@ class Histories:
     def columns(self) -> list[np.ndarray]:
         """What is sent, beside the histories' numbers."""
         some = self.open[self.send]
-        return [_small(self.uses[some]), self.need[self.send].astype(np.uint8), self.lower[some], *[_small(r[some]) for r in self.rare]]
+        return [_small(self.uses[some]), self.need[self.send].astype(np.uint8), self.lower[some], *[r[some] for r in self.rare]]
 
     def weights(self, weight: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight and scale of each history: answered if needed and open, else by the block's own sums."""
@@ -422,12 +424,13 @@ class Histories:
         return weights, scales
 
 
-def _by_block(tables: list[DataFrame], parts: int) -> DataFrame:
-    """All rows of a block together: its texts first, then the answers by bucket."""
+def _by_block(tables: list[DataFrame], parts: int, numbers: str = "") -> DataFrame:
+    """All rows of a block together: its texts first, then the answers by bucket. Numbers only of the kind named."""
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
-    return union.where("block >= 0").repartition(parts, "block").sortWithinPartitions("block", F.col("kind") != "texts", "kind", "bucket")
+    wanted = (F.col("block") >= 0) & (~F.col("kind").endswith("_numbers") | (F.col("kind") == f"{numbers}_numbers"))
+    return union.where(wanted).repartition(parts, "block").sortWithinPartitions("block", F.col("kind") != "texts", "kind", "bucket")
 
 
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
@@ -449,12 +452,19 @@ class Answers:
     def __init__(self, held: dict[str, list[bytes]], model: Model) -> None:
         self.block, self.model = Block(held["texts"][0]), model
         self.held = {kind: [_unpack(p) for p in parts] for kind, parts in held.items() if kind != "texts"}
+        held.clear()
         self.count = self.column("words", 0).astype(np.int64)
         self.chance = model.word(self.count)
         self.total, self.owner = self.column("pairs", 0).astype(np.int64), self.column("pairs", 1)
 
     def column(self, kind: str, k: int) -> np.ndarray:
-        return np.concatenate([p[k] for p in self.held[kind]]) if kind in self.held else np.zeros(0, np.uint8)
+        """One column of a kind of answers; it can be read once."""
+        if kind not in self.held:
+            return np.zeros(0, np.uint8)
+        out = np.concatenate([p[k] for p in self.held[kind]])
+        for p in self.held[kind]:
+            p[k] = None
+        return out
 
     @cached_property
     def words(self) -> Histories:
@@ -475,7 +485,7 @@ class Answers:
     def triple_totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Training count of each trigram over all blocks, and whether this block answers for it."""
         triples = self.block.triples
-        total, own = triples.count.copy(), np.ones(len(triples.count), bool)
+        total, own = triples.count.astype(np.int64), np.ones(len(triples.count), bool)
         _, some = triples.shared(self.total, self.owner)
         total[some], own[some] = self.column("triples", 0), self.column("triples", 1) > 0
         return total, own & (total > 0)
@@ -535,26 +545,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for block, held in _each_block(batches):
             a = Answers(held, model)
             b = a.block
-            yield _rows(asked(block, "weights", b.words, a.column("words", 2), a.words))
+            yield _rows(asked(block, "weights", b.words, a.column("words_numbers", 0), a.words))
             if order == 3:
                 keys, some = b.triples.shared(a.total, a.owner)
                 yield _rows(sliced(block, "triples", keys, keys, _small(b.triples.count[some])))
                 local = np.ones(len(b.triples.count), bool)
                 local[some] = False
                 yield _rows([(block, block % buckets, "local", _pack(_statistics(b.triples.count[local])))])
+                del keys, some, local
+            del a, b  # before the next block comes
 
-    answers = {"weights": _backoff_answer("weights", model.ratio[0]), "triples": _count_answer("triples"), "local": _local_answer}
+    answers = {"weights": _backoff_answer("weights", model.ratio[0]), "triples": _count_answer("triples", numbered=False), "local": _local_answer}
     tables = [blocks, words, pairs]
-    tables.append(_exchange(_by_block(tables, parts).mapInArrow(lean(ask_more), ROW), answers, "lm-trigrams"))
+    tables.append(_exchange(_by_block(tables, parts, "words").mapInArrow(lean(ask_more), ROW), answers, "lm-trigrams"))
     if order == 3:
         model.ratio.append(discounts(_stats(tables[-1])))
 
         def ask_pair_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, held in _each_block(batches):
                 a = Answers(held, model)
-                yield _rows(asked(block, "pair_weights", a.block.pairs.key, a.column("pairs", 2), a.pairs))
+                yield _rows(asked(block, "pair_weights", a.block.pairs.key, a.column("pairs_numbers", 0), a.pairs))
+                del a  # before the next block comes
 
-        sums = _by_block(tables, parts).mapInArrow(lean(ask_pair_weights), ROW)
+        sums = _by_block(tables, parts, "pairs").mapInArrow(lean(ask_pair_weights), ROW)
         tables.append(_exchange(sums, {"pair_weights": _backoff_answer("pair_weights", model.ratio[1])}, "lm-weights"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,6 +583,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 "n_tokens": pa.array(b.length, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(b.doc), model.tokens), pa.int64()),
                 "base_score": pa.array(np.add.reduceat(base[b.token], starts)), "score": pa.array(np.add.reduceat(log, starts)),
             })
+            del a, b, count, log, base, starts, known  # before the next block comes
 
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return _by_block(tables, parts).mapInArrow(lean(judge), out)
