@@ -1,11 +1,44 @@
-"""Connected components of a links table, by alternating large-star and small-star steps."""
+"""Connected components of a links table, by alternating large-star and small-star steps.
+
+As soon as the links are few enough to be held by one task, that task does the rest.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, option, written
+from .workers import lean
+
+#: So many links (16 bytes each) are followed by one task.
+TASK_LINKS = 2_000_000
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links between int64 numbers, and the least node that each can reach."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    up = np.arange(len(nodes))
+    while len(a):
+        x, y = up[a], up[b]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (above := up[up]).tobytes() != up.tobytes():
+            up = above
+        open_ones = up[a] != up[b]
+        a, b = a[open_ones], b[open_ones]
+    return nodes, nodes[up]
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(batch.column("u").to_numpy(), batch.column("v").to_numpy()) for batch in batches if batch.num_rows]
+    if held:
+        nodes, least = least_reachable(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
 
 
 def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,8 +66,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     # Rows of one node must meet whatever Spark infers about unions.
     with option(spark, "spark.sql.unionOutputPartitioning", "false"):
         edges = written(links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u <> v").distinct(), "links")
-        before = None
-        while True:
+        before, n = None, edges.count()
+        while n > TASK_LINKS:
             large, least = _large_star(edges)
             star = written(large, "star")
             discard(edges, least)
@@ -45,7 +78,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
             now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
             if before == now:
                 break
-            before = now
+            before, n = now, now[0]
+        else:
+            out = written(edges.coalesce(1).mapInArrow(lean(_in_one_task), "node bigint, component bigint"), "components")
+            discard(edges)
+            return out
         roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
         out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots), "components")
         discard(edges)

@@ -60,6 +60,8 @@ LOCAL_PIVOTS = 6
 LEAF = 12
 #: A block of documents is closed beyond so many signatures.
 BLOCK_SIGNATURES = 500_000
+#: Few keys are dealt to fewer ranges than there are partitions, as a range has a row for each block.
+LEAST_RANGE = 500_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -148,34 +150,52 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def join_region(sets: list[np.ndarray], num: int, den: int, roots: list[int | None] | None = None) -> list[tuple[int, int]]:
     """Links that span the groups of a family, exactly, by Voronoi regions within regions. Members
     with the same root are linked through it. A pair is compared unless it is known to be in one
-    group already, or sizes, pivots or regions prove it too far apart."""
+    group already, or sizes, pivots or regions prove it too far apart. A set is compared with many
+    at once: its shingles are marked, and marks are counted along the others."""
     sizes = np.array([len(s) for s in sets])
-    groups, links = Groups(len(sets)), []
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (sizes, sizes)
+    flat, starts = flat.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    marked = np.zeros(len(distinct), np.uint8)
+    group, links = np.arange(len(sets)), []
     first: dict[int, int] = {}
     for k, root in enumerate(roots or ()):
         if root is not None:
-            groups.join(first.setdefault(root, k), k)
+            group[k] = first.setdefault(root, k)
     epsilon = 1 - num / den
 
-    def compare(x: int, y: int) -> float:
-        both = _common(sets[x], sets[y])
-        union = int(sizes[x] + sizes[y]) - both
-        if both * den >= union * num and groups.join(x, y):
-            links.append((x, y))
+    def along(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of members one after the other, and where each begins."""
+        begins = np.concatenate([[0], np.cumsum(sizes[members])])
+        return np.concatenate([flat[starts[m] : starts[m + 1]] for m in members.tolist()]), begins
+
+    def compare(x: int, ys: np.ndarray, run: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Distances of x to ys, whose shingles are ``run``; those within epsilon are linked."""
+        own = flat[starts[x] : starts[x + 1]]
+        marked[own] = 1
+        both = np.add.reduceat(marked[run], begins, dtype=np.int64)
+        marked[own] = 0
+        union = sizes[x] + sizes[ys] - both
+        for y in ys[both * den >= union * num].tolist():
+            if group[x] != group[y]:
+                links.append((x, y))
+                group[group == group[y]] = group[x]
         return 1 - both / union
 
     def by_pairs(members: np.ndarray, far: np.ndarray) -> None:
         order = np.argsort(sizes[members], kind="stable")
         ordered, far = members[order], far[:, order]
         size = sizes[ordered]
+        run, begins = along(ordered)
         for k, x in enumerate(ordered.tolist()):
             end = int(np.searchsorted(size, size[k] * den // num, side="right"))
-            near = np.arange(k + 1, end)
+            near = k + 1 + np.flatnonzero(group[ordered[k + 1 : end]] != group[x])
             if len(near) and len(far):
                 near = near[(np.abs(far[:, near] - far[:, [k]]) <= epsilon + 1e-9).all(0)]
-            for y in ordered[near].tolist():
-                if groups.find(x) != groups.find(y):
-                    compare(x, y)
+            if 2 * len(near) > end - k - 1:
+                compare(x, ordered[k + 1 : end], run[begins[k + 1] : begins[end]], begins[k + 1 : end] - begins[k + 1])
+            elif len(near):
+                some, at = along(ordered[near])
+                compare(x, ordered[near], some, at[:-1])
 
     def region(members: np.ndarray) -> None:
         if len(members) <= LEAF:
@@ -183,25 +203,27 @@ def join_region(sets: list[np.ndarray], num: int, den: int, roots: list[int | No
             return
         # Each pivot is the member farthest from the ones before it.
         at, least, far = int(sizes[members].argmax()), np.full(len(members), np.inf), []
+        run, begins = along(members)
         for _ in range(LOCAL_PIVOTS):
-            p = int(members[at])
-            far.append(np.array([compare(p, y) if y != p else 0.0 for y in members.tolist()]))
+            far.append(compare(int(members[at]), members, run, begins[:-1]))
             least = np.minimum(least, far[-1])
             at = int(least.argmax())
             if least[at] <= epsilon:
                 break
+        del run
         far = np.array(far)
-        if len({groups.find(x) for x in members.tolist()}) == 1:
+        if (group[members] == group[members[0]]).all():
             return
         home = far.min(0)
         windows = [np.flatnonzero(d <= home + 2 * epsilon + 1e-9) for d in far]
-        if sum(map(len, windows)) > 2 * len(members) or max(map(len, windows)) > 0.9 * len(members):  # regions that overlap so much prune less than the pivots' distances
+        if 2 * sum(len(w) ** 2 for w in windows) > len(members) ** 2:  # every cut at least halves the pairs; else regions prune less than the pivots' distances
             by_pairs(members, far)
             return
         for inside in windows:
             region(members[inside])
 
-    region(np.arange(len(sets)))
+    if sets:
+        region(np.arange(len(sets)))
     return links
 
 
@@ -382,6 +404,10 @@ def _family_links(members: DataFrame, num: int, den: int) -> DataFrame:
     return links
 
 
+def _ranges(keys: int, parts: int) -> int:
+    return ranges_for(keys, min(parts, -(-keys // LEAST_RANGE) or 1))
+
+
 def _families(neighbours: DataFrame) -> DataFrame:
     """(node, component) of the cids of rows (sig, cid), linked by equal signatures."""
     least = written(neighbours.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select("sig", "least"), "signatures")
@@ -395,7 +421,7 @@ def _lonely(members: DataFrame, num: int, den: int) -> DataFrame:
     its shingles with the other, but fewer of theirs occur twice in their region. This takes out
     texts that only a common passage has brought into a family, and so cuts large families."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = ranges_for(int(members.select(F.sum(F.length("shingles"))).first()[0] or 0) // 8, parts)
+    ranges = _ranges(int(members.select(F.sum(F.length("shingles"))).first()[0] or 0) // 8, parts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -453,7 +479,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     # A plan for the filters: a word has about six bytes and gives (den - num) / num signatures for each of two bands.
     expected = int((rows.select(F.sum(F.length("raw"))).first()[0] or 0) / 6 * 2.5 * (den - num) / num)
-    ranges = ranges_for(expected, parts)
+    ranges = _ranges(expected, parts)
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
     names = ["block", "span", "data", "doc_id", "n_shingles", "key"]
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -124,3 +125,27 @@ def test_members_without_a_link_leave_the_family(spark):
     sets = [(1, k, bytearray(ngram_join.shingle_set(" ".join(t).encode(), 5).tobytes())) for k, t in enumerate(texts)]
     members = spark.createDataFrame(sets, "region bigint, doc bigint, shingles binary")
     assert {r.doc for r in ngram_join._lonely(members, 4, 5).collect()} == set(range(30))
+
+
+def test_a_large_group_of_near_copies_is_joined_in_bulk():
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(145)]
+    near = lambda gone: ngram_join.np.unique(ngram_join.np.array([*rng.sample(base, 145 - gone), *(rng.getrandbits(64) for _ in range(gone))], "u8"))
+    sets = [near(rng.randrange(25)) for _ in range(1200)]
+    began = time.process_time()
+    links = ngram_join.join_region(sets, 9, 10)
+    spent = time.process_time() - began
+    groups = ngram_join.Groups(len(sets))
+    for a, b in links:
+        assert groups.join(a, b)
+    alone = {k for k in range(len(sets)) if all(k not in pair for pair in links)}
+    for k in sorted(alone)[:40]:
+        assert all(10 * (both := ngram_join._common(sets[k], s)) < 9 * (len(sets[k]) + len(s) - both) for j, s in enumerate(sets) if j != k)
+    assert 0 < len(alone) < len(sets) and spent < 6  # pair by pair: 10 s
+
+
+def test_regions_that_overlap_are_not_cut_without_end():
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    sets = [ngram_join.np.unique(ngram_join.np.array(rng.sample(base, 110), "u8")) for _ in range(500)]
+    assert ngram_join.join_region(sets, 9, 10) == []

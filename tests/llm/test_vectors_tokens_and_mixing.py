@@ -141,7 +141,9 @@ def test_embedding_odd_rows(spark):
     assert sorted(r.n_links for r in embedding_dedup.near_duplicates(alone).collect()) == [0, 1, 1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_task", [0, 50, 1000])
+def test_components(spark, monkeypatch, in_task):
+    monkeypatch.setattr(components, "TASK_LINKS", in_task)
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7)]
     root = list(range(300))
