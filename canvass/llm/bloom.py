@@ -83,15 +83,16 @@ def answer(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
             yield block, keys[hit].tobytes(), places[hit].astype("<i8").tobytes()
 
 
-def repeated(asked: DataFrame, name: str) -> DataFrame:
-    """Written rows (block, keys, places): uint64 keys and 64-bit places of the keys of ``asked``
-    (block, span, data) that may occur twice in all. False positives are possible, false negatives not."""
+def repeated(asked: DataFrame, name: str, with_keys: bool = True) -> DataFrame:
+    """Written rows (block, keys, places): uint64 keys (null unless ``with_keys``) and 64-bit places of
+    the keys of ``asked`` (block, span, data) that may occur twice in all. False positives are possible,
+    false negatives not."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span, held = None, []
 
         def done() -> pa.RecordBatch:
-            cols = list(zip(*answer(held), strict=True)) or [()] * 3
+            cols = list(zip(*((block, keys if with_keys else None, places) for block, keys, places in answer(held)), strict=True)) or [()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "places"])
 
         for batch in batches:

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from canvass.llm import ngram_join
+from canvass.llm import bloom, components, ngram_join, storage
 
 
 def brute(rows, words, num, den):
@@ -149,3 +149,20 @@ def test_regions_that_overlap_are_not_cut_without_end():
     base = [rng.getrandbits(64) for _ in range(200)]
     sets = [ngram_join.np.unique(ngram_join.np.array(rng.sample(base, 110), "u8")) for _ in range(500)]
     assert ngram_join.join_region(sets, 9, 10) == []
+
+
+def test_signatures_and_sets_leave_the_disk_when_read(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    seen, write = {}, storage.written
+
+    def spy(df, name):
+        out = write(df, name)
+        seen.setdefault(name, {p.name.rsplit("-", 1)[0] for p in (tmp_path / "canvass").iterdir() if p.is_dir()})
+        return out
+
+    for module in (ngram_join, components, bloom):
+        monkeypatch.setattr(module, "written", spy)
+    rows = corpus(9)
+    ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    assert "shingle-blocks" in seen["signature-suspects"] and not {"shingle-blocks", "signature-repeats"} & seen["family-sets"]
+    assert not {"shingle-asks", "shingle-repeats"} & seen["live-members"]
