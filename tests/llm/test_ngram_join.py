@@ -141,7 +141,7 @@ def test_a_large_group_of_near_copies_is_joined_in_bulk():
     alone = {k for k in range(len(sets)) if all(k not in pair for pair in links)}
     for k in sorted(alone)[:40]:
         assert all(10 * (both := ngram_join._common(sets[k], s)) < 9 * (len(sets[k]) + len(s) - both) for j, s in enumerate(sets) if j != k)
-    assert 0 < len(alone) < len(sets) and spent < 6  # pair by pair: 10 s
+    assert 0 < len(alone) < len(sets) and spent < 6  # pair by pair some 10 s, by calculation from 24 s measured for 1,823
 
 
 def test_regions_that_overlap_are_not_cut_without_end():
