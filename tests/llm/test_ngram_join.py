@@ -166,3 +166,23 @@ def test_signatures_and_sets_leave_the_disk_when_read(spark, monkeypatch, tmp_pa
     ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
     assert "shingle-blocks" in seen["signature-suspects"] and not {"shingle-blocks", "signature-repeats"} & seen["family-sets"]
     assert not {"shingle-asks", "shingle-repeats"} & seen["live-members"]
+
+
+def test_near_copies_are_kept_as_texts_and_questions_are_not_stored(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    size, held, write = lambda d: sum(p.stat().st_size for p in d.rglob("*.parquet")), [], storage.written
+
+    def spy(df, name):
+        out = write(df, name)
+        held.append((size(tmp_path), name))
+        return out
+
+    for module in (ngram_join, components, bloom):
+        monkeypatch.setattr(module, "written", spy)
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(400)]
+    bases = [[rng.choice(vocab) for _ in range(600)] for _ in range(60)]
+    rows = list(enumerate(" ".join([*b, f"x{k}y{i}"]) for i, b in enumerate(bases) for k in range(5)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(4)
+    assert ngram_join.similar_groups(docs).select("component_id").distinct().count() == 60
+    assert max(held)[0] < 1.5 * sum(len(t) for _, t in rows), held
