@@ -186,3 +186,23 @@ def test_near_copies_are_kept_as_texts_and_questions_are_not_stored(spark, monke
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(4)
     assert ngram_join.similar_groups(docs).select("component_id").distinct().count() == 60
     assert max(held)[0] < 1.5 * sum(len(t) for _, t in rows), held
+
+
+def test_a_common_passage_makes_no_family_of_unlike_texts(spark, monkeypatch):
+    families, write = [], storage.written
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "families":
+            families.extend(r["count"] for r in out.groupBy("region").count().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", spy)
+    rng = random.Random(11)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    passage = [word() for _ in range(60)]
+    bases = [[*(word() for _ in range(20)), *passage, *(word() for _ in range(20))] for _ in range(40)]
+    rows = list(enumerate(" ".join([*b, f"x{k}y{i}"]) for i, b in enumerate(bases) for k in range(3)))
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, num=9, den=10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 9, 10)
+    assert sorted(families) == [3] * 40
